@@ -1 +1,214 @@
-"""Queries."""
+"""Entity resolution (E)."""
+
+from pyspark.sql import functions as F
+
+from quire.catalog.registry import query
+from quire.functions.text import title_ascii
+from quire.operators import graph, linkage, merging
+
+# plain-letter titles (the oracle counts edits in bytes); labelled documents are the library, the others arrive
+TITLES = r"""tt AS (SELECT id, trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g')) AS title, lang, source, n_chars, year, abstract FROM docs),
+  lib AS (SELECT * FROM tt WHERE id IN (SELECT doc_id FROM labels)), inc AS (SELECT * FROM tt WHERE id NOT IN (SELECT doc_id FROM labels))"""
+SIM = "1 - levenshtein({a}, {b}) / greatest(length({a}), length({b}))"
+
+
+def titled(t):
+    return t.docs.withColumn("title", title_ascii("title"))
+
+
+def library(t):
+    return titled(t).join(t.labels.select(F.col("doc_id").alias("id")), "id", "left_semi")
+
+
+def incoming(t):
+    return titled(t).join(t.labels.select(F.col("doc_id").alias("id")), "id", "left_anti")
+
+
+def identified(df):
+    """Identifiers: size and language name the DOI of one source, size the arXiv id of another."""
+    doi = F.when(F.col("source") == "src3", F.concat(F.lit("10.5555/"), F.col("lang"), F.col("n_chars").cast("string")))
+    arx = F.when(F.col("source") == "src4", F.col("n_chars").cast("string"))
+    return df.withColumn("doi", doi).withColumn("arxiv_id", arx).withColumn("date_added", F.col("year"))
+
+
+@query("e01_find_existing", f"""WITH {TITLES},
+    li AS (SELECT *, CASE WHEN source = 'src3' THEN '10.5555/' || lang || n_chars END AS doi, CASE WHEN source = 'src4' THEN CAST(n_chars AS VARCHAR) END AS arx FROM lib),
+    ii AS (SELECT *, CASE WHEN source = 'src3' THEN '10.5555/' || lang || n_chars END AS doi, CASE WHEN source = 'src4' THEN CAST(n_chars AS VARCHAR) END AS arx FROM inc),
+    m AS (SELECT i.id, 1 AS tier, 'doi' AS match_type, min(l.id) AS existing_id, 1.0 AS similarity FROM ii i JOIN li l ON l.doi = i.doi GROUP BY i.id
+      UNION ALL SELECT i.id, 2, 'arxiv_id', min(l.id), 1.0 FROM ii i JOIN li l ON l.arx = i.arx GROUP BY i.id
+      UNION ALL SELECT id, 3, 'title_similarity', lid, round(s, 3) FROM (SELECT i.id, l.id AS lid, {SIM.format(a='i.title', b='l.title')} AS s, row_number() OVER (PARTITION BY i.id ORDER BY l.year DESC, l.id DESC) AS n
+        FROM ii i JOIN li l ON i.title <> '' AND l.title <> '' AND length(l.title) BETWEEN length(i.title) * 0.9 - 1 AND length(i.title) / 0.9 + 1 AND {SIM.format(a='i.title', b='l.title')} > 0.92) WHERE n = 1),
+    f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tier) AS k FROM m)
+    SELECT id AS record_id, match_type, existing_id, similarity::DOUBLE AS similarity FROM f WHERE k = 1""", "docs")
+def _(t):
+    new = identified(incoming(t)).withColumnRenamed("id", "record_id")
+    return linkage.find_existing(new, identified(library(t)), t=0.92, measure="edits").select("record_id", "match_type", "existing_id", "similarity")
+
+
+@query("e01_find_existing_ratio")
+def _(t):
+    new = identified(incoming(t)).withColumnRenamed("id", "record_id")
+    return linkage.find_existing(new, identified(library(t)))
+
+
+def hashed(t):
+    return t.documents.select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("hash"))
+
+
+@query("e02_duplicates_by_hash", "SELECT sha256(text) AS hash, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+def _(t):
+    return linkage.duplicates_by_hash(hashed(t))
+
+
+@query("e02_copies", """SELECT doc_id AS id, first_id, copies FROM documents JOIN (SELECT text, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1) USING (text)""")
+def _(t):
+    return linkage.copies(hashed(t))
+
+
+DUP = f"""same AS (SELECT f.first AS id_a, t.id AS id_b, 1.0 AS similarity FROM tt t JOIN (SELECT title, min(id) AS first FROM tt WHERE title <> '' GROUP BY 1) f USING (title) WHERE t.id <> f.first),
+  u AS (SELECT title, min(id) AS id FROM tt WHERE title <> '' GROUP BY 1),
+  pairs AS (SELECT id_a, id_b, similarity FROM same UNION ALL SELECT a.id, b.id, {SIM.format(a='a.title', b='b.title')} FROM u a JOIN u b ON a.id < b.id
+    AND length(b.title) BETWEEN length(a.title) * 0.8 - 1 AND length(a.title) / 0.8 + 1 AND {SIM.format(a='a.title', b='b.title')} >= 0.85)"""
+
+
+@query("e03_duplicates_by_title", f"WITH {TITLES}, {DUP} SELECT id_a, id_b, round(similarity, 6)::DOUBLE AS similarity FROM pairs", "docs")
+def _(t):
+    return linkage.duplicates_by_title(titled(t), 0.85, measure="edits").withColumn("similarity", F.round("similarity", 6))
+
+
+@query("e03_duplicates_by_title_ratio")
+def _(t):
+    return linkage.duplicates_by_title(t.docs, 0.9)
+
+
+@query("e04_duplicate_identifiers", """
+    SELECT f.first AS id_a, p.id AS id_b, lower(p.doi) AS ident FROM papers p JOIN (SELECT lower(doi) AS d, min(id) AS first FROM papers WHERE doi IS NOT NULL GROUP BY 1) f ON f.d = lower(p.doi) WHERE p.id <> f.first""", "papers")
+def _(t):
+    from quire.functions.text import doi_key
+    return linkage.duplicates_by_key(t.papers, "id", doi_key("doi"))
+
+
+@query("e05_link_entries", f"""WITH {TITLES},
+    li AS (SELECT *, CASE WHEN source = 'src3' THEN '10.5555/' || lang || n_chars END AS doi FROM lib), ii AS (SELECT *, CASE WHEN source = 'src3' THEN '10.5555/' || lang || n_chars END AS doi FROM inc),
+    d AS (SELECT i.id, min(l.id) AS pid FROM ii i JOIN li l ON l.doi = i.doi GROUP BY 1),
+    x AS (SELECT i.id, l.id AS pid, {SIM.format(a='i.title', b='l.title')} AS s, row_number() OVER (PARTITION BY i.id ORDER BY l.id) AS n FROM ii i JOIN li l ON i.title <> '' AND l.title <> '' AND i.id NOT IN (SELECT id FROM d)
+      AND contains(l.title, substring(i.title, 1, 50)) AND {SIM.format(a='i.title', b='l.title')} >= 0.8)
+    SELECT i.id AS key, coalesce(d.pid, x.pid, -1) AS paper_id, CASE WHEN d.pid IS NOT NULL THEN 'doi' WHEN x.pid IS NOT NULL THEN 'title' END AS match_type,
+           CASE WHEN d.pid IS NOT NULL THEN 1.0 ELSE round(x.s, 3) END::DOUBLE AS confidence, d.pid IS NOT NULL OR x.pid IS NOT NULL AS matched
+    FROM ii i LEFT JOIN d ON d.id = i.id LEFT JOIN x ON x.id = i.id AND x.n = 1""", "docs")
+def _(t):
+    entries = identified(incoming(t)).withColumnRenamed("id", "key")
+    return linkage.link_entries(entries, identified(library(t)), t=0.8, measure="edits").withColumn("paper_id", F.coalesce("paper_id", F.lit(-1)))
+
+
+@query("e06_match_references", f"""WITH {TITLES},
+    li AS (SELECT *, CASE WHEN source = 'src3' THEN '10.5555/' || lang || n_chars END AS doi FROM lib), ii AS (SELECT *, CASE WHEN source = 'src3' THEN '10.5555/' || lang || n_chars END AS doi FROM inc),
+    d AS (SELECT i.id, min(l.id) AS pid FROM ii i JOIN li l ON l.doi = i.doi GROUP BY 1),
+    a AS (SELECT id, pid, 'doi' AS match_type, 1.0 AS c FROM d UNION ALL SELECT i.id, l.id, 'title_similarity', round({SIM.format(a='i.title', b='l.title')}, 3) FROM ii i JOIN li l ON i.title <> '' AND l.title <> ''
+      AND i.id NOT IN (SELECT id FROM d) AND {SIM.format(a='i.title', b='l.title')} > 0.85)
+    SELECT id AS reference_id, pid AS paper_id, match_type, c::DOUBLE AS confidence, rank, CASE WHEN rank = 1 AND c >= 0.95 THEN 'matched' END AS match_status
+    FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, pid) AS rank FROM a) WHERE rank <= 5""", "docs")
+def _(t):
+    refs = identified(incoming(t)).select(F.col("id").alias("reference_id"), F.col("doi").alias("parsed_doi"), F.col("title").alias("parsed_title"))
+    return linkage.match_references(refs, identified(library(t)), measure="edits")
+
+
+# documents as attachments in id order: the title names the parent, the text is the file, junk without words is missing
+ATT = r"""att AS (SELECT id AS ordinal, title AS parent, CASE WHEN n_chars > 20 THEN sha256(abstract) END AS h FROM docs),
+  own AS (SELECT title AS parent, min(id) AS pid, bool_or(quality = 1) AS has_file FROM docs JOIN labels ON doc_id = id WHERE id IN (SELECT min(id) FROM docs JOIN labels ON doc_id = id GROUP BY title) GROUP BY 1),
+  known AS (SELECT DISTINCT sha256(text) AS h FROM documents JOIN labels USING (doc_id) WHERE toxic = 1),
+  o AS (SELECT a.*, row_number() OVER (ORDER BY ordinal) AS n, coalesce(w.has_file, FALSE) AS has_file, w.pid, h IN (SELECT h FROM known) AS known FROM att a LEFT JOIN own w ON w.parent = a.parent)"""
+
+
+@query("e07_plan_import", f"""WITH RECURSIVE {ATT},
+    run(n, parents, hashes, ordinal, action) AS (
+      SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[], NULL::BIGINT, NULL::VARCHAR
+      UNION ALL SELECT o.n,
+        CASE WHEN NOT list_contains(r.parents, o.parent) AND (o.has_file OR (o.h IS NOT NULL AND NOT o.known AND NOT list_contains(r.hashes, o.h))) THEN list_append(r.parents, o.parent) ELSE r.parents END,
+        CASE WHEN NOT list_contains(r.parents, o.parent) AND NOT o.has_file AND o.h IS NOT NULL AND NOT o.known AND NOT list_contains(r.hashes, o.h) THEN list_append(r.hashes, o.h) ELSE r.hashes END,
+        o.ordinal,
+        CASE WHEN list_contains(r.parents, o.parent) THEN 'skip_extra_pdf' WHEN o.has_file THEN 'skip_has_pdf' WHEN o.h IS NULL THEN 'skip_missing_file'
+             WHEN o.known OR list_contains(r.hashes, o.h) THEN 'skip_duplicate_hash' WHEN o.pid IS NOT NULL THEN 'attach' ELSE 'new_import' END
+      FROM run r JOIN o ON o.n = r.n + 1)
+    SELECT ordinal, action FROM run WHERE ordinal IS NOT NULL""", "docs")
+def _(t):
+    att = t.docs.select(F.col("id").alias("ordinal"), F.col("title").alias("parent_key"),
+                        F.when(F.col("n_chars") > 20, F.sha2("abstract", 256)).alias("file_hash"))
+    lab = t.docs.join(t.labels, F.col("doc_id") == F.col("id"))
+    own = lab.groupBy(F.col("title").alias("zotero_key")).agg(F.min(F.struct("id", "quality")).alias("m")).select(
+        "zotero_key", F.col("m.id").alias("id"), F.when(F.col("m.quality") == 1, "/x.pdf").alias("file_path"))
+    known = lab.filter("toxic = 1").select(F.sha2("abstract", 256).alias("file_hash"))
+    return linkage.plan_import(att, own, known).select("ordinal", "action")
+
+
+@query("e07_match_existing", """
+    WITH k AS (SELECT id, CASE WHEN id IN (SELECT doc_id FROM labels) THEN 1 ELSE 0 END AS inlib, lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) AS t FROM docs)
+    SELECT i.id, coalesce((SELECT min(l.id) FROM k l WHERE l.inlib = 1 AND l.t = i.t AND l.t <> ''), -1) AS paper_id FROM k i WHERE i.inlib = 0""", "docs")
+def _(t):
+    new = t.docs.join(t.labels, F.col("doc_id") == F.col("id"), "left_anti").withColumn("doi", F.lit(None).cast("string"))
+    have = t.docs.join(t.labels, F.col("doc_id") == F.col("id"), "left_semi").withColumn("doi", F.lit(None).cast("string"))
+    return linkage.match_existing(new, have).select("id", F.coalesce("paper_id", F.lit(-1)).alias("paper_id"))
+
+
+@query("e08_citation_keys", r"""
+    WITH b AS (SELECT id, 'src' || CAST(year AS VARCHAR) || coalesce(list_filter(list_transform(regexp_split_to_array(title, '\s+'), lambda w: lower(regexp_replace(w, '[^a-zA-Z]', '', 'g'))),
+        lambda w: w NOT IN ('', 'a', 'an', 'the', 'on', 'of', 'for', 'in', 'to'))[1], '') AS base_key FROM docs),
+    n AS (SELECT *, count(*) OVER (PARTITION BY base_key) AS holders, row_number() OVER (PARTITION BY base_key ORDER BY id) AS r FROM b)
+    SELECT id, base_key, holders, CASE WHEN holders = 1 THEN base_key WHEN r <= 26 THEN base_key || chr((96 + r)::INT) ELSE base_key || '_' || r END AS citation_key FROM n""", "docs")
+def _(t):
+    return linkage.citation_keys(t.docs.withColumn("authors", F.concat(F.lit("Lee "), F.col("source"), F.lit("; Doe J"))))
+
+
+@query("e09_merge_sources", """
+    WITH s AS (SELECT d.title AS record_id, d.id AS ordinal, d.source, coalesce(l.quality, 0) + coalesce(l.toxic, 0) * 0.5 AS confidence, CASE WHEN l.toxic = 0 THEN d.lang END AS journal,
+               CASE WHEN d.n_chars > 1000 THEN d.year END AS year, CASE WHEN d.n_chars < 3000 THEN d.source ELSE '' END AS publisher FROM docs d LEFT JOIN labels l ON l.doc_id = d.id WHERE d.title <> ''),
+    r AS (SELECT *, -confidence * 1e9 + ordinal AS k FROM s),
+    m AS (SELECT record_id, arg_min(journal, k) FILTER (WHERE journal <> '') AS journal, arg_min(year, k) FILTER (WHERE year <> 0) AS year, arg_min(publisher, k) FILTER (WHERE publisher <> '') AS publisher,
+           arg_min(source, k) AS primary_source, min(k) AS k0, min(k) FILTER (WHERE journal <> '') AS k1, min(k) FILTER (WHERE year <> 0) AS k2, min(k) FILTER (WHERE publisher <> '') AS k3 FROM r GROUP BY 1)
+    SELECT m.record_id, m.journal, coalesce(m.year, -1) AS year, m.publisher, m.primary_source,
+      (SELECT string_agg(r.source, ',' ORDER BY r.k) FROM r WHERE r.record_id = m.record_id AND r.k IN (m.k0, m.k1, m.k2, m.k3)) AS sources_used,
+      concat_ws(',', CASE WHEN m.year IS NULL THEN 'year' END, CASE WHEN m.journal IS NULL THEN 'journal' END) AS missing_fields FROM m""", "docs")
+def _(t):
+    d = t.docs.filter("title <> ''").join(t.labels, F.col("doc_id") == F.col("id"), "left")
+    rows = d.select(F.col("title").alias("record_id"), F.col("id").alias("ordinal"), "source",
+                    (F.coalesce("quality", F.lit(0)) + F.coalesce("toxic", F.lit(0)) * 0.5).alias("confidence"),
+                    F.when(F.col("toxic") == 0, F.col("lang")).alias("journal"), F.when(F.col("n_chars") > 1000, F.col("year")).alias("year"),
+                    F.when(F.col("n_chars") < 3000, F.col("source")).otherwise("").alias("publisher"))
+    out = merging.merge_sources(rows)
+    return out.select("record_id", "journal", F.coalesce("year", F.lit(-1)).alias("year"), "publisher", "primary_source",
+                      F.array_join("sources_used", ",").alias("sources_used"), F.array_join("missing_fields", ",").alias("missing_fields"))
+
+
+@query("e10_best_match")
+def _(t):
+    # candidates of a record: library documents of the same source and language
+    r = incoming(t).select(F.col("id").alias("record_id"), "title", F.col("source").alias("author"), "year", F.col("lang").alias("l"))
+    c = library(t).select(F.col("id").alias("candidate_id"), "title", F.array("source").alias("authors"), "year", F.col("lang").alias("l"), "source")
+    pairs = r.select("record_id", "l", F.col("author").alias("source")).join(c, ["source", "l"]).select("record_id", "candidate_id", "title", "authors", "year")
+    return merging.best_match(r, pairs, "search")
+
+
+@query("e11_bib_updates", """
+    SELECT o.id AS key, l.id AS paper_id, CASE WHEN o.rating IS NULL AND l.abstract <> '' THEN substring(l.abstract, 1, 200) || '...' ELSE '' END AS new_abstract,
+           CASE WHEN o.read_status = 'unread' THEN CAST(l.year AS VARCHAR) ELSE '' END AS new_year
+    FROM papers o JOIN papers l ON l.doi = o.doi AND l.id = (SELECT min(id) FROM papers x WHERE x.doi = o.doi)
+    WHERE (o.rating IS NULL AND l.abstract <> '') OR o.read_status = 'unread'""", "papers")
+def _(t):
+    fields = F.map_filter(F.create_map(F.lit("doi"), F.col("doi"), F.lit("abstract"), F.when(F.col("rating").isNotNull(), F.lit("x")),
+                                       F.lit("year"), F.when(F.col("read_status") != "unread", F.lit("2000"))), lambda k, v: v.isNotNull())
+    out = linkage.bib_updates(t.papers.select(F.col("id").alias("key"), fields.alias("fields")), t.papers)
+    get = lambda f: F.coalesce(F.col("changes")[f], F.lit("")).alias(f"new_{f}")
+    return out.select("key", "paper_id", get("abstract"), get("year"))
+
+
+@query("e12_cited_in_projects", f"""WITH {TITLES} SELECT DISTINCT t.id, l.source AS project FROM tt t JOIN lib l ON l.title = t.title WHERE t.title <> ''""", "docs")
+def _(t):
+    none = F.lit(None).cast("string")
+    return linkage.cited_in_projects(t.docs.withColumn("doi", none), library(t).select(F.col("source").alias("project"), none.alias("doi"), "title"))
+
+
+@query("e13_clusters", f"""WITH RECURSIVE {TITLES}, {DUP}, e AS (SELECT id_a AS u, id_b AS v FROM pairs UNION SELECT id_b, id_a FROM pairs),
+    reach(id, other) AS (SELECT u, v FROM e UNION SELECT r.id, e.v FROM reach r JOIN e ON e.u = r.other)
+    SELECT id, least(id, min(other)) AS cluster_id FROM reach GROUP BY id""", "docs")
+def _(t):
+    return graph.clusters(linkage.duplicates_by_title(titled(t), 0.85, measure="edits"))

@@ -1 +1,77 @@
-"""Queries."""
+"""Vector search."""
+
+from pyspark.sql import functions as F
+
+from quire.catalog.registry import query
+from quire.functions.similarity import cosine
+from quire.operators import reports, vectors
+
+PAIRS = """p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score, b.label
+     FROM embeddings a CROSS JOIN embeddings b)"""
+TOP = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank"
+
+
+@query("r07_knn", f"WITH {PAIRS} SELECT query_id, id, score, rank FROM (SELECT *, {TOP} FROM p WHERE label = 3) WHERE rank <= 5")
+def _(t):
+    q = t.vectors.select(F.col("id").alias("query_id"), "embedding")
+    return vectors.knn(q, t.vectors.filter("label = 3"), 5)
+
+
+@query("r09_similar_papers", f"WITH {PAIRS} SELECT query_id, id, score, rank FROM (SELECT *, {TOP} FROM p WHERE query_id <> id AND score >= 0.3) WHERE rank <= 10")
+def _(t):
+    return vectors.similar_papers(t.vectors.select("id", "embedding"), 10, min_score=0.3)
+
+
+@query("r09_similar_papers_blocks", f"WITH {PAIRS} SELECT query_id, id, score, rank FROM (SELECT *, {TOP} FROM p WHERE query_id <> id AND score >= 0.3) WHERE rank <= 10")
+def _(t):
+    from quire.session import top_k
+    q = t.vectors.select(F.col("id").alias("query_id"), "embedding")
+    hits = vectors._blocks(q, t.vectors.select("id", "embedding"), 10, 0.3, True)
+    return top_k(hits, ["query_id"], [F.desc("score"), F.col("id")], 10, "rank")
+
+
+# vectors as chunk vectors: the label names the paper, the document of that number gives the text
+@query("r08_chunk_knn", f"""
+    WITH {PAIRS}, h AS (SELECT *, {TOP} FROM p WHERE score >= 0.1), f AS (SELECT * FROM h WHERE rank <= 9),
+    b AS (SELECT query_id, label AS paper_id, max(score) AS score, count(*) AS n FROM f GROUP BY 1, 2),
+    c AS (SELECT query_id, label AS paper_id, id, score, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, id) AS n FROM f),
+    s AS (SELECT query_id, paper_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY n) AS shown FROM c WHERE n <= 2 GROUP BY 1, 2)
+    SELECT query_id, paper_id, score, shown, rank FROM (SELECT b.query_id, b.paper_id, b.score, s.shown, row_number() OVER (PARTITION BY b.query_id ORDER BY b.score DESC, b.paper_id) AS rank
+      FROM b JOIN s ON s.query_id = b.query_id AND s.paper_id = b.paper_id) WHERE rank <= 3""")
+def _(t):
+    text = t.documents.select(F.col("doc_id").alias("id"), "text", F.col("source").alias("section"))
+    chunks = t.vectors.join(text, "id").select(F.col("id").alias("chunk_id"), F.col("label").cast("long").alias("paper_id"),
+                                               F.col("id").alias("chunk_index"), "section", "text", "embedding")
+    q = t.vectors.select(F.col("id").alias("query_id"), "embedding")
+    out = vectors.chunk_knn(q, chunks, 3, min_score=0.1)
+    shown = F.array_join(F.transform("chunks", lambda c: c["chunk_index"].cast("string")), ",")
+    return out.select("query_id", "paper_id", "score", shown.alias("shown"), "rank")
+
+
+@query("r10_suggest_citations", f"""
+    WITH {PAIRS}, h AS (SELECT *, {TOP} FROM p WHERE query_id <> id AND score >= 0.25), f AS (SELECT query_id, id, score FROM h WHERE rank <= 8),
+    j AS (SELECT f.*, coalesce(l.quality = 1, FALSE) AS preferred FROM f LEFT JOIN labels l ON l.doc_id = f.id)
+    SELECT query_id, id, score, preferred, row_number() OVER (PARTITION BY query_id ORDER BY preferred DESC, score DESC, id) AS rank FROM j""")
+def _(t):
+    types = t.labels.select(F.col("doc_id").alias("paper_id"), F.when(F.col("quality") == 1, "review").otherwise("other").alias("paper_type"))
+    near = vectors.similar_papers(t.vectors.select("id", "embedding"), 8, min_score=0.25)
+    return vectors.prefer_types(near.drop("rank"), types, ["review", "primary"], 8).select("query_id", "id", "score", "preferred", "rank")
+
+
+@query("a09_suggest_tags", f"""
+    WITH {PAIRS}, h AS (SELECT *, {TOP} FROM p WHERE query_id <> id AND score >= 0.3), v AS (SELECT query_id AS id, CAST(label AS VARCHAR) AS tag, count(*) AS votes FROM h WHERE rank <= 20 GROUP BY 1, 2),
+    o AS (SELECT v.* FROM v JOIN embeddings e ON e.vec_id = v.id WHERE CAST(e.label AS VARCHAR) <> v.tag)
+    SELECT id, tag, votes, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY votes DESC, tag) AS rank FROM o) WHERE rank <= 5""")
+def _(t):
+    near = vectors.similar_papers(t.vectors.select("id", "embedding"), 20, min_score=0.3)
+    near = near.select(F.col("query_id").alias("id"), F.col("id").alias("neighbour_id"))
+    tags = t.vectors.select(F.col("id").alias("paper_id"), F.col("label").cast("string").alias("tag"))
+    return reports.suggest_tags(near, tags)
+
+
+@query("n17_cosine", """
+    SELECT a.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def _(t):
+    a = t.vectors.select("id", F.col("embedding").alias("a"))
+    b = t.vectors.select((F.col("id") - 1).alias("id"), F.col("embedding").alias("b"))
+    return a.join(b, "id").select("id", F.round(cosine("a", "b"), 6).alias("score"))

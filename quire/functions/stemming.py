@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 
 
@@ -94,12 +94,12 @@ def porter(word: str) -> str:
     return word
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stem(words: pd.Series) -> pd.Series:
     return words.map(porter)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold(words: pd.Series) -> pd.Series:
     """Drop diacritics."""
     return words.str.normalize("NFKD").str.replace(r"[̀-ͯ]", "", regex=True)

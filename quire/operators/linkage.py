@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from quire.functions.similarity import block_ratio, edit_similarity
 from quire.functions.text import citation_key, doi_key, title_key, title_plain
 from quire.session import checkpointed, repeat_per_salt, salt_of, top_k
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _grams(texts: pd.Series, sizes: pd.Series) -> pd.Series:
     """Character grams of each text, repeats numbered so that sets count like multisets."""
     def one(t, q):

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from quire.functions.text import words
 from quire.operators.ranking import decayed
@@ -12,6 +15,7 @@ from quire.operators.textindex import TextIndex, query_terms
 from quire.session import repeat_per_salt, salt_of, top_k
 
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
+_BARE = re.compile(r"[\W_]+")
 
 
 def _in_years(docs: DataFrame, low: int | None, high: int | None) -> DataFrame | None:
@@ -126,28 +130,34 @@ def phrase_match(queries: DataFrame, index: TextIndex) -> DataFrame:
     return rows.filter("occurrences > 0").select("query_id", "doc_id", "occurrences")
 
 
-def _window(text: str, terms: Column, size: int) -> Column:
-    """Best window of ``size`` words around matching words, marked."""
-    w = words(text)
-    bare = lambda x: F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]", "")
-    at = F.filter(F.transform(w, lambda x, i: F.when(F.array_contains(terms, bare(x)), i)), lambda p: p.isNotNull())
-    # matches inside the window that opens at each match; a window holds at most `size` of them
-    gain = F.transform(at, lambda p, i: F.struct(
-        F.size(F.filter(F.slice(at, i + 1, size), lambda o: o < p + size)).alias("n"), (-p).alias("start")))
-    start = F.least(-F.array_max(gain)["start"], F.greatest(F.size(w) - size, F.lit(0)))
-    start = F.coalesce(start, F.lit(0))
-    shown = F.transform(F.slice(w, start + 1, size), lambda x: F.when(
-        F.array_contains(terms, bare(x)), F.concat(F.lit("<mark>"), x, F.lit("</mark>"))).otherwise(x))
-    return F.concat(F.when(start > 0, F.lit("...")).otherwise(F.lit("")), F.array_join(shown, " "),
-                    F.when(F.size(w) > start + size, F.lit("...")).otherwise(F.lit("")))
+def _marker(size: int):
+    """Arrow UDF: best window of ``size`` words around matching words, matches marked."""
+
+    def one(text: str | None, terms) -> str | None:
+        if text is None:
+            return None
+        wanted, w = set(terms), text.split()
+        hit = [_BARE.sub("", x.lower()) in wanted for x in w]
+        running = np.concatenate(([0], np.cumsum(hit)))
+        last = max(len(w) - size, 0)
+        gain = running[np.minimum(np.arange(last + 1) + size, len(w))] - running[: last + 1]
+        start = int(gain.argmax())
+        shown = [f"<mark>{x}</mark>" if h else x for x, h in zip(w[start:start + size], hit[start:start + size])]
+        return ("..." if start else "") + " ".join(shown) + ("..." if start + size < len(w) else "")
+
+    @F.pandas_udf(T.StringType())
+    def marked(text: pd.Series, terms: pd.Series) -> pd.Series:
+        return pd.Series([one(x, y) for x, y in zip(text, terms)], dtype="object")
+
+    return marked
 
 
 def snippets(hits: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
     """Marked title (32 words) and abstract (64 words) windows of each hit."""
     terms = query_terms(queries).groupBy("query_id").agg(F.collect_set("term").alias("terms"))
     rows = hits.join(terms, "query_id").join(docs.select(F.col("id").alias("doc_id"), "title", "abstract"), "doc_id")
-    return rows.select(*hits.columns, _window("title", F.col("terms"), 32).alias("title_snippet"),
-                       _window("abstract", F.col("terms"), 64).alias("abstract_snippet"))
+    return rows.select(*hits.columns, _marker(32)("title", "terms").alias("title_snippet"),
+                       _marker(64)("abstract", "terms").alias("abstract_snippet"))
 
 
 def exact(queries: DataFrame, docs: DataFrame, index: TextIndex, *, year_min: int | None = None, year_max: int | None = None,

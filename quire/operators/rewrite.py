@@ -78,10 +78,9 @@ def corrections(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
     ``vocabulary`` holds term and df.  Nearest term first, then the most frequent.
     """
-    w = queries.select(F.explode(words("query")).alias("raw"))
+    w = queries.select(F.explode(words(clean_query("query"))).alias("raw"))
     w = w.filter(correctable(F.col("raw"))).select(F.lower("raw").alias("word")).distinct()
     unknown = w.join(vocabulary.select(F.col("term").alias("word")), "word", "left_anti")
-    # longer forms than a candidate can have need no lookup: keys match on equal deletions
     left = unknown.select("word", F.explode(_deletions(F.col("word"))).alias("form"))
     known = vocabulary.filter(F.length("term") > 2).select("term", "df", F.explode(_deletions(F.col("term"))).alias("form"))
     pairs = left.join(known, "form").select("word", "term", "df").distinct()
@@ -92,7 +91,7 @@ def corrections(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def correct_queries(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Queries with unknown words replaced, and the list of replacements."""
     fixes = corrections(queries, vocabulary).select("word", F.col("term").alias("fix"))
-    rows = queries.select("query_id", F.posexplode(words("query")).alias("pos", "raw"))
+    rows = queries.select("query_id", F.posexplode(words(clean_query("query"))).alias("pos", "raw"))
     rows = rows.withColumn("word", F.when(correctable(F.col("raw")), F.lower("raw"))).join(fixes, "word", "left")
     item = F.struct("pos", F.coalesce("fix", "raw").alias("out"),
                     F.when(F.col("fix").isNotNull(), F.concat("raw", F.lit(" -> "), "fix")).alias("note"))

@@ -133,10 +133,14 @@ def similar_papers(vectors: DataFrame, k: int, *, min_score: float | None = None
     return knn(q, vectors, k, min_score=min_score, no_self=True)
 
 
-def suggest_citations(queries: DataFrame, vectors: DataFrame, contents: DataFrame, prefer: list[str], k: int, *,
-                      min_score: float = 0.4) -> DataFrame:
-    """Similar papers, preferred types first."""
-    hits = knn(queries, vectors, k, min_score=min_score).drop("rank")
+def prefer_types(hits: DataFrame, contents: DataFrame, prefer: list[str], k: int) -> DataFrame:
+    """Hits re-ordered so that preferred paper types come first."""
     types = contents.select(F.col("paper_id").alias("id"), "paper_type")
     out = hits.join(types, "id", "left").withColumn("preferred", F.coalesce(F.col("paper_type").isin(prefer), F.lit(False)))
     return top_k(out, ["query_id"], [F.desc("preferred"), F.desc("score"), F.col("id")], k, "rank")
+
+
+def suggest_citations(queries: DataFrame, vectors: DataFrame, contents: DataFrame, prefer: list[str], k: int, *,
+                      min_score: float = 0.4) -> DataFrame:
+    """Similar papers for a text, preferred types first."""
+    return prefer_types(knn(queries, vectors, k, min_score=min_score).drop("rank"), contents, prefer, k)
