@@ -96,13 +96,14 @@ def query_mode(query: str | Column) -> Column:
 
 def _split_operators(queries: DataFrame) -> DataFrame:
     """Query text without operator words, and the words after NOT."""
-    w = words("query")
-    before = lambda i: F.upper(F.coalesce(F.try_element_at(w, F.when(i > 0, i)), F.lit("")))
-    operator = lambda x: F.upper(x).isin("AND", "OR", "NOT")
-    keep = F.filter(w, lambda x, i: ~operator(x) & (before(i) != "NOT"))
-    drop = F.filter(w, lambda x, i: ~operator(x) & (before(i) == "NOT"))
-    return queries.select("query_id", query_mode("query").alias("mode"), F.array_join(keep, " ").alias("query"),
-                          F.array_join(drop, " ").alias("excluded"))
+    rows = queries.select("query_id", query_mode("query").alias("mode"), words("query").alias("word"))
+    rows = rows.withColumn("before", F.slice(F.concat(F.array(F.lit("")), F.col("word")), 1, F.size("word")))
+    rows = rows.select("query_id", "mode", F.arrays_zip("word", "before").alias("w"))
+    term = lambda p: ~F.upper(p["word"]).isin("AND", "OR", "NOT")
+    negated = lambda p: F.upper(p["before"]) == "NOT"
+    text = lambda pairs: F.array_join(F.transform(pairs, lambda p: p["word"]), " ")
+    return rows.select("query_id", "mode", text(F.filter("w", lambda p: term(p) & ~negated(p))).alias("query"),
+                       text(F.filter("w", lambda p: term(p) & negated(p))).alias("excluded"))
 
 
 def boolean_match(queries: DataFrame, index: TextIndex) -> DataFrame:

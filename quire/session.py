@@ -32,16 +32,20 @@ def build_session(cpus: int | str = 8, app: str = "quire") -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder all executors can reach: ``spark.checkpoint.dir``, or a temporary one where the session names none (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="quire-shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
-    The folder comes from ``spark.checkpoint.dir``; a temporary one is used only where
-    the session names none (local tests).
-    """
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quire-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
