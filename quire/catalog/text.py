@@ -74,9 +74,9 @@ def word_pairs(t):
     return w.join(w.select((F.col("id") - 1).alias("id"), F.col("a").alias("b")), "id")
 
 
-@query("n11_fuzzy_jaccard", f"""WITH {PAIR}, m AS (SELECT id, len(list_intersect(a, b)) AS both, len(list_distinct(list_concat(a, b))) AS total,
+@query("n11_fuzzy_jaccard", f"""WITH {PAIR}, m AS (SELECT id, len(list_intersect(a, b)) AS same, len(list_distinct(list_concat(a, b))) AS total,
       len(list_filter(a, lambda x: NOT list_contains(b, x) AND len(list_filter(b, lambda y: NOT list_contains(a, y) AND length(x) >= 5 AND length(y) >= 5 AND levenshtein(x, y) <= 2)) > 0)) AS near FROM pr)
-    SELECT id, round((both + near) / total, 6) AS score FROM m""")
+    SELECT id, round((same + near) / total, 6) AS score FROM m""")
 def _(t):
     return word_pairs(t).select("id", F.round(sim.fuzzy_jaccard(F.col("a"), F.col("b")), 6).alias("score"))
 
@@ -355,7 +355,7 @@ def _(t):
 
 
 @query("c12_page_links", """SELECT k AS key, count(*) AS occurrences, count(DISTINCT page_id) AS files FROM (
-      SELECT page_id, trim(unnest(string_split(unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)), ','))) AS k FROM pages) GROUP BY 1""")
+      SELECT page_id, trim(unnest(flatten(list_transform(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda g: string_split(g, ','))))) AS k FROM pages) GROUP BY 1""")
 def _(t):
     lines = tex.text_lines(t.pages.select(F.col("page_id").cast("string").alias("file"), F.col("html").alias("value")))
     return tex.citation_counts(tex.tex_citations(lines, r'href="([^"]*)"'))
@@ -416,12 +416,10 @@ def _(t):
     WHERE l.l_returnflag = 'A' AND l.l_linestatus = 'F' AND o.o_orderstatus <> 'P'""")
 def _(t):
     items = t.orders.select(F.col("o_orderkey").alias("itemID"), F.col("o_orderpriority").alias("itemTypeID"), F.col("o_orderkey").cast("string").alias("key"))
-    child = t.lineitem.select((-F.monotonically_increasing_id() - 1).alias("itemID"), F.col("l_orderkey").alias("parentItemID"),
+    child = t.lineitem.select(F.xxhash64(*t.lineitem.columns).alias("itemID"), F.col("l_orderkey").alias("parentItemID"),
                               F.when(F.col("l_returnflag") == "A", 1).otherwise(2).alias("linkMode"),
                               F.when(F.col("l_linestatus") == "F", "application/pdf").otherwise("text/html").alias("contentType"),
                               F.concat(F.lit("storage:"), F.col("l_partkey").cast("string"), F.lit(".pdf")).alias("path"))
-    from quire.session import checkpointed
-    child = checkpointed(child)  # generated ids must not change between reads
     every = items.unionByName(child.select("itemID", F.lit("x").alias("itemTypeID"), F.col("itemID").cast("string").alias("key")))
     kinds = t.orders.select(F.col("o_orderpriority").alias("itemTypeID")).distinct().withColumn("typeName", F.col("itemTypeID"))
     gone = t.orders.filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("itemID"))

@@ -162,6 +162,6 @@ def response_object(c: str | Column) -> Column:
 def missing_fields(obj: str | Column, tier: str) -> Column:
     """Required fields of the tier that are absent or null."""
     obj = col(obj)
-    gone = [F.when(F.coalesce(F.is_variant_null(F.try_variant_get(obj, f"$.{f}", "variant")), F.lit(True)), F.lit(f))
-            for f in REQUIRED_FIELDS[tier]]
+    at = lambda f: F.try_variant_get(obj, f"$.{f}", "variant")
+    gone = [F.when(at(f).isNull() | F.is_variant_null(at(f)), F.lit(f)) for f in REQUIRED_FIELDS[tier]]
     return F.filter(F.array(*gone), lambda f: f.isNotNull())

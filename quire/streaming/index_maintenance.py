@@ -42,10 +42,14 @@ def compact(spark: SparkSession, root: str, target: str) -> None:
     rows.select("doc_id").distinct().write.mode("overwrite").parquet(f"{target}/changed/batch=-1")
 
 
-def run(changes: DataFrame, root: str, checkpoint: str, weights: dict[str, float], trigger: dict | None = None):
-    """Start the maintenance of a change stream (id, op, version and the indexed fields)."""
+def run(changes: DataFrame, root: str, checkpoint: str, weights: dict[str, float], trigger: dict | None = None,
+        first_batch: int = 0):
+    """Start the maintenance of a change stream (id, op, version and the indexed fields).
+
+    A stream with a new checkpoint continues an existing index from ``first_batch``.
+    """
     def step(batch: DataFrame, batch_id: int) -> None:
-        apply_batch(root, batch, batch_id, weights)
+        apply_batch(root, batch, first_batch + batch_id, weights)
 
     return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(
         **(trigger or {"availableNow": True})).start()
