@@ -114,7 +114,7 @@ def quote_form(c: str | Column) -> Column:
     """Lower case, no quotation marks, no hyphens or dashes, single spaces."""
     bare = F.regexp_replace(col(c), "[\"'‘’“”«»]", "")
     bare = F.regexp_replace(bare, "[-‐-―]", "")
-    return F.regexp_replace(F.lower(F.trim(bare)), r"\s+", " ")
+    return squeeze(F.lower(bare))
 
 
 def content_words(c: str | Column) -> Column:
