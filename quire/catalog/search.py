@@ -30,17 +30,18 @@ def top(source, k, keys="score DESC, doc_id", by="query_id"):
 def index(t, queries=None):
     """Index of the documents; postings are limited to the batch's terms when queries are known."""
     only = None if queries is None else textindex.query_terms(queries)
-    return textindex.build_index(t.docs, only=only)
+    return textindex.stored(textindex.build_index(t.docs, only=only))
 
 
 @query("r01_index_terms", rf"WITH {TOK} SELECT term, count(*) AS df, sum(tf)::BIGINT AS occurrences, sum(f)::DOUBLE AS weighted FROM post GROUP BY term", "docs")
 def _(t):
-    return index(t).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("hits")).alias("occurrences"), F.sum("f").alias("weighted"))
+    return textindex.build_index(t.docs).postings.groupBy("term").agg(
+        F.count("*").alias("df"), F.sum("tf").alias("occurrences"), F.sum("f").alias("weighted"))
 
 
 @query("r01_document_lengths", rf"WITH {TOK} SELECT doc_id, dl::BIGINT AS dl FROM dl", "docs")
 def _(t):
-    return index(t).docs
+    return textindex.build_index(t.docs).docs
 
 
 @query("r01_stemmed_terms")
@@ -62,7 +63,8 @@ def _(t):
 
 @query("r03_bm25", f"WITH {TOK}, {bm25_sql('search_queries')} SELECT query_id, doc_id, score, rank FROM ({top('scored', 10)})", "docs search_queries")
 def _(t):
-    return retrieval.bm25(t.search_queries, index(t, t.search_queries), k=10)
+    only = textindex.query_terms(t.search_queries)
+    return retrieval.bm25(t.search_queries, textindex.build_index(t.docs, only=only), k=10)
 
 
 @query("r03_bm25_years", f"""WITH {TOK}, {bm25_sql('search_queries')},

@@ -44,9 +44,11 @@ def common_references(refs: DataFrame, min_shared: int = 2, examples: int = 5) -
     sets = sets.filter(F.size("ordered") >= min_shared).select(
         "paper_id", "ordered", F.transform("ordered", lambda s: s["doi"]).alias("dois"))
     keep = F.slice("ordered", 1, F.size("ordered") - (min_shared - 1))
-    index = sets.select("paper_id", F.explode(F.transform(keep, lambda s: s["doi"])).alias("doi"))
-    left = index.select(F.col("paper_id").alias("paper_a"), "doi", salt_of("paper_id").alias("salt"))
-    right = repeat_per_salt(index.select(F.col("paper_id").alias("paper_b"), "doi"))
+    index = sets.select("paper_id", F.inline(keep))
+    # a work with many citations is met in parts of about a thousand papers
+    parts = F.ceil(F.col("cited_by") / 1000).cast("int")
+    left = index.select(F.col("paper_id").alias("paper_a"), "doi", F.pmod(F.xxhash64("paper_id"), parts).cast("int").alias("salt"))
+    right = index.select(F.col("paper_id").alias("paper_b"), "doi", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
     pairs = left.join(right, ["doi", "salt"]).filter("paper_a < paper_b").select("paper_a", "paper_b").distinct()
     side = lambda s: sets.select(F.col("paper_id").alias(f"paper_{s}"), F.col("dois").alias(f"dois_{s}"))
     full = pairs.join(side("a"), "paper_a").join(side("b"), "paper_b")

@@ -7,9 +7,9 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from quire.functions.similarity import block_ratio, edit_similarity
+from quire.functions.similarity import block_ratio, bounded_edit_similarity
 from quire.functions.text import citation_key, doi_key, title_key, title_plain
-from quire.session import checkpointed, repeat_per_salt, salt_of, top_k
+from quire.session import checkpointed, repeat_per_salt, salt_of, spread, top_k
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -49,7 +49,7 @@ def _prefixes(texts: DataFrame, freq_of: DataFrame | None, t: float, measure: st
     reach = int(short * ((2 - t) / t if measure == "ratio" else 1 / t)) + 1
     n = F.length("text")
     sizes = F.filter(F.array(F.when(n > short, F.lit(q)), F.when((n <= reach) & F.lit(short > 0), F.lit(1))), lambda x: x.isNotNull())
-    rows = texts.withColumn("q", F.explode(sizes))
+    rows = spread(texts, "key").withColumn("q", F.explode(sizes))
     keep = F.col("q") * _lost(n, t, measure) + 1
     return rows.select("key", n.alias("n"), keep.alias("keep"), "q", F.explode(_grams("text", "q")).alias("gram"))
 
@@ -70,8 +70,12 @@ def similar_texts(left: DataFrame, right: DataFrame | None, t: float, *, measure
     freq = every.groupBy("gram").agg(F.count("*").alias("freq"))
     rare = lambda g: g.join(freq, "gram").withColumn(
         "r", F.row_number().over(Window.partitionBy("key", "q").orderBy("freq", "gram"))).filter("r <= keep")
-    a = rare(grams_a).select("gram", F.col("key").alias("key_a"), F.col("n").alias("n_a"), salt_of("key").alias("salt"))
-    b = repeat_per_salt(rare(grams_b).select("gram", F.col("key").alias("key_b"), F.col("n").alias("n_b")))
+    # a common gram is met in parts of about a thousand texts
+    parts = F.ceil(F.col("freq") / 1000).cast("int")
+    a = rare(grams_a).select("gram", F.col("key").alias("key_a"), F.col("n").alias("n_a"),
+                             F.pmod(F.xxhash64("key"), parts).cast("int").alias("salt"))
+    b = rare(grams_b).select("gram", F.col("key").alias("key_b"), F.col("n").alias("n_b"),
+                             F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
     low, high = _partner_range(F.col("n_a"), t, measure)
     pairs = a.join(b, ["gram", "salt"]).filter(F.col("n_b").between(low, high))
     if own:
@@ -80,7 +84,7 @@ def similar_texts(left: DataFrame, right: DataFrame | None, t: float, *, measure
     other = left if own else right
     pairs = pairs.join(left.select(F.col("key").alias("key_a"), F.col("text").alias("text_a")), "key_a")
     pairs = pairs.join(other.select(F.col("key").alias("key_b"), F.col("text").alias("text_b")), "key_b")
-    score = block_ratio("text_a", "text_b") if measure == "ratio" else edit_similarity(F.col("text_a"), F.col("text_b"))
+    score = block_ratio("text_a", "text_b") if measure == "ratio" else bounded_edit_similarity(F.col("text_a"), F.col("text_b"), t)
     scored = pairs.withColumn("similarity", score)
     return scored.filter(F.col("similarity") > t if strict else F.col("similarity") >= t).select("key_a", "key_b", "similarity")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions.text import shorten
-from quire.session import top_k
+from quire.session import spread, top_k
 
 
 def list_papers(papers: DataFrame, *, author: str | None = None, tag: str | None = None, year: int | None = None,
@@ -68,8 +68,10 @@ def keyword_like(papers: DataFrame, queries: DataFrame, *, year_min: int | None
         docs = docs.filter(F.col("year") >= year_min)
     if year_max is not None:
         docs = docs.filter(F.col("year") <= year_max)
-    text = F.lower(F.concat_ws("\u0001", "title", "abstract"))
-    out = docs.join(queries, F.contains(text, F.lower("query")))
+    text = F.lower(F.concat_ws("\u0001", "title", "abstract")).alias("_text")
+    docs = spread(docs, "id").select(*papers.columns, text)
+    wanted = queries.withColumn("_query", F.lower("query"))
+    out = docs.join(wanted, F.contains("_text", F.col("_query"))).drop("_text", "_query")
     return top_k(out, ["query_id"], [F.desc_nulls_last("year"), F.col("id")], k, "rank")
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quire.functions.stemming import fold, stem
 from quire.functions.text import tokens
+from quire.session import shared_folder, spread
 
 #: Default field weights.
 WEIGHTS = {"title": 10.0, "abstract": 5.0}
@@ -15,7 +17,7 @@ WEIGHTS = {"title": 10.0, "abstract": 5.0}
 
 @dataclass
 class TextIndex:
-    """``postings``: term, doc_id, dl, f (weighted frequency), hits (field, pos).
+    """``postings``: term, doc_id, dl, f (weighted frequency), tf, hits (field, pos).
     ``docs``: doc_id, dl for every indexed document.  ``terms``: term, df.
     ``stemmed``: query terms go through the same folding and stemming."""
 
@@ -34,7 +36,7 @@ class TextIndex:
 def tokenised(docs: DataFrame, weights: dict[str, float] = WEIGHTS, key: str = "id") -> DataFrame:
     """Tokens of each document and field: doc_id, field, weight, tokens, dl (tokens over all fields)."""
     fields = [F.struct(F.lit(f).alias("field"), F.lit(w).alias("weight"), tokens(f).alias("tokens")) for f, w in weights.items()]
-    rows = docs.select(F.col(key).alias("doc_id"), F.array(*fields).alias("fields"))
+    rows = spread(docs.select(key, *weights), key).select(F.col(key).alias("doc_id"), F.array(*fields).alias("fields"))
     rows = rows.withColumn("dl", F.aggregate("fields", F.lit(0), lambda n, f: n + F.size(f["tokens"])))
     return rows.select("doc_id", "dl", F.inline("fields"))
 
@@ -60,7 +62,7 @@ def build_index(docs: DataFrame, weights: dict[str, float] = WEIGHTS, *, key: st
     if only is not None:
         flat = flat.join(only.select("term").distinct(), "term", "left_semi")
     postings = flat.groupBy("term", "doc_id", "dl").agg(
-        F.sum("weight").alias("f"), F.collect_list(F.struct("field", "pos")).alias("hits"))
+        F.sum("weight").alias("f"), F.count("*").alias("tf"), F.collect_list(F.struct("field", "pos")).alias("hits"))
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
     return TextIndex(postings, lengths, terms, stemmed)
 
@@ -77,7 +79,8 @@ def save_index(index: TextIndex, path: str, buckets: int = 64) -> None:
     postings = index.postings.withColumn("bucket", b).repartition(buckets, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8)))
     postings.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
-    index.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    written = index.postings.sparkSession.read.parquet(f"{path}/postings")
+    written.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
 
 
 def load_index(spark: SparkSession, path: str, stemmed: bool = False) -> TextIndex:
@@ -85,6 +88,14 @@ def load_index(spark: SparkSession, path: str, stemmed: bool = False) -> TextInd
     return TextIndex(read(f"{path}/postings").drop("bucket"), read(f"{path}/docs"), read(f"{path}/terms"), stemmed)
 
 
+def stored(index: TextIndex) -> TextIndex:
+    """The index written once to the shared folder and read back, for several uses in a session."""
+    spark = index.postings.sparkSession
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    save_index(index, path, buckets=8)
+    return load_index(spark, path, index.stemmed)
+
+
 def index_status(docs: DataFrame, index_docs: DataFrame) -> DataFrame:
     """Indexed against total documents, and whether a rebuild is needed."""
     ids = docs.select(F.col("id").alias("doc_id"))

@@ -22,6 +22,7 @@ def build_session(cpus: int | str = 8, app: str = "quire") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
@@ -49,6 +50,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, key: str, piece: int = 1 << 18) -> DataFrame:
+    """Split a small input over the cores before per-row CPU work.
+
+    A small table may sit in one file block, hence in one task.  The plan's size estimate
+    decides: only inputs below one scan partition per core are moved, larger ones already
+    arrive in many partitions and are left alone.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= cores * (128 << 20):
+        return df
+    return df.repartition(max(1, min(cores, size // piece + 1)), key)
+
+
 def salt_of(*cols: str | Column, n: int = SALTS) -> Column:
     """Sub-key of a row of the large side."""
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
