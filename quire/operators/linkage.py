@@ -27,12 +27,17 @@ def _grams(texts: pd.Series, sizes: pd.Series) -> pd.Series:
     return pd.Series([one(t, int(q)) for t, q in zip(texts, sizes)])
 
 
-def _lost(length: Column | int, t: float, measure: str):
-    """Most characters of a text of this length a partner at similarity ``t`` can lack."""
-    share = 2 * (1 - t) / (2 - t) if measure == "ratio" else (1 - t) / t
-    if isinstance(length, int):
-        return int(length * share + 1e-9)
-    return F.floor(length * share + 1e-9).cast("int")
+def _missing(length: Column | int, q: int | Column, t: float, measure: str):
+    """Most q-grams of a text of this length that a partner at similarity ``t`` can lack.
+
+    ratio: a lost character takes q grams and an inserted one q - 1; at a fixed ratio the
+    worst case loses 2(1-t)/(2-t) of the characters.  edits: each edit takes q grams.
+    """
+    if measure == "ratio":
+        grams = length * q * (2 * (1 - t) / (2 - t)) + 1e-9
+        return int(grams) if isinstance(length, int) else F.floor(grams).cast("int")
+    edits = length * ((1 - t) / t) + 1e-9
+    return q * int(edits) if isinstance(length, int) else F.floor(edits).cast("int") * q
 
 
 def _partner_range(length: Column, t: float, measure: str) -> tuple[Column, Column]:
@@ -43,14 +48,14 @@ def _partner_range(length: Column, t: float, measure: str) -> tuple[Column, Colu
 def _prefixes(texts: DataFrame, freq_of: DataFrame | None, t: float, measure: str) -> DataFrame:
     """Rarest grams of each text that must contain one gram of any partner."""
     q = 2
-    short = max([n for n in range(1, 400) if q * _lost(n, t, measure) + 1 > n - q + 1], default=0)
+    short = max([n for n in range(1, 400) if _missing(n, q, t, measure) + 1 > n - q + 1], default=0)
     if short >= 390:  # threshold too low for two-character grams
         q, short = 1, 0
     reach = int(short * ((2 - t) / t if measure == "ratio" else 1 / t)) + 1
     n = F.length("text")
     sizes = F.filter(F.array(F.when(n > short, F.lit(q)), F.when((n <= reach) & F.lit(short > 0), F.lit(1))), lambda x: x.isNotNull())
     rows = spread(texts, "key").withColumn("q", F.explode(sizes))
-    keep = F.col("q") * _lost(n, t, measure) + 1
+    keep = _missing(n, F.col("q"), t, measure) + 1
     return rows.select("key", n.alias("n"), keep.alias("keep"), "q", F.explode(_grams("text", "q")).alias("gram"))
 
 
