@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quire.functions.text import shorten
-from quire.session import spread, top_k
+from quire.functions.text import shorten, tokens
+from quire.session import repeat_per_salt, salt_of, spread, top_k
 
 
 def list_papers(papers: DataFrame, *, author: str | None = None, tag: str | None = None, year: int | None = None,
@@ -56,23 +56,39 @@ def lookup(papers: DataFrame, wanted: DataFrame, key: str = "doi") -> DataFrame:
     return out.withColumn("error", F.when(F.col("paper_id").isNull(), F.lit("Paper not found")))
 
 
-def keyword_like(papers: DataFrame, queries: DataFrame, *, year_min: int | None = None, year_max: int | None = None,
-                 k: int | None = 20) -> DataFrame:
-    """title or abstract contains the query, newest first.
+def contains_join(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``_text`` contains the ``_query`` of a row of ``queries``.
 
-    A substring has no key to shuffle on.  The query table drives a nested-loop join that
-    Spark may broadcast when its statistics keep it under the session threshold.
+    A query of three tokens or more pins its inner tokens to whole tokens of the text, so
+    its longest inner token is an equality key and only texts with that token are searched.
+    Shorter queries have no such key; they are compared with every text.
     """
+    inner = tokens("_query")
+    q = queries.withColumn("_inner", F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0))))
+    keyed = q.filter(F.size("_inner") > 0).withColumn("_key", F.array_max(F.transform(
+        "_inner", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]).drop("_inner")
+    keys = keyed.select("_key").distinct()
+    places = docs.select("id", F.explode(F.array_distinct(tokens("_text"))).alias("_key")).join(keys, "_key", "left_semi")
+    cand = places.withColumn("salt", salt_of("id")).join(repeat_per_salt(keyed.select("query_id", "_query", "_key")), ["_key", "salt"])
+    cand = cand.select("id", "query_id", "_query").join(docs, "id").filter(F.contains("_text", F.col("_query")))
+    cand = cand.drop("_query").join(queries, "query_id")
+    short = docs.join(q.filter(F.size("_inner") == 0).drop("_inner"), F.contains("_text", F.col("_query")))
+    return cand.select(*docs.columns, *queries.columns).unionByName(short.select(*docs.columns, *queries.columns))
+
+
+def keyword_like(papers: DataFrame, queries: DataFrame, *, year_min: int | None = None, year_max: int | None = None,
+                 k: int | None = 20) -> DataFrame:
+    """title or abstract contains the query, newest first."""
     docs = papers
     if year_min is not None:
         docs = docs.filter(F.col("year") >= year_min)
     if year_max is not None:
         docs = docs.filter(F.col("year") <= year_max)
     text = F.lower(F.concat_ws("\u0001", "title", "abstract")).alias("_text")
-    docs = spread(docs, "id").select(*papers.columns, text)
-    wanted = queries.withColumn("_query", F.lower("query"))
-    out = docs.join(wanted, F.contains("_text", F.col("_query"))).drop("_text", "_query")
-    return top_k(out, ["query_id"], [F.desc_nulls_last("year"), F.col("id")], k, "rank")
+    docs = spread(docs, "id").select("id", "year", text)
+    hits = contains_join(docs, queries.select("query_id", F.lower("query").alias("_query"))).drop("_text", "_query")
+    best = top_k(hits, ["query_id"], [F.desc_nulls_last("year"), F.col("id")], k, "rank").drop("year")
+    return best.join(papers, "id").join(queries, "query_id")
 
 
 def to_result(papers: DataFrame, score: Column | None = None) -> DataFrame:

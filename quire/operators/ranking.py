@@ -29,9 +29,10 @@ def collapse_chunks(hits: DataFrame, previews: int = 2, chars: int = 300) -> Dat
 
 def min_max(df: DataFrame, by: list[str], score: str = "score", name: str = "score_norm") -> DataFrame:
     """Scores scaled to 0..1 per list; a constant list becomes 1."""
-    w = Window.partitionBy(*by)
-    low, high = F.min(score).over(w), F.max(score).over(w)
-    return df.withColumn(name, F.when(high == low, F.lit(1.0)).otherwise((F.col(score) - low) / (high - low)))
+    ends = df.groupBy(*by).agg(F.min(score).alias("_low"), F.max(score).alias("_high"))
+    share = (F.col(score) - F.col("_low")) / (F.col("_high") - F.col("_low"))
+    out = df.join(ends, by)
+    return out.withColumn(name, F.when(F.col("_high") == F.col("_low"), F.lit(1.0)).otherwise(share)).drop("_low", "_high")
 
 
 def section_at(positions: DataFrame, headers: DataFrame) -> DataFrame:

@@ -10,9 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from quire.functions.text import words
+from quire.operators.listing import contains_join
 from quire.operators.ranking import decayed
 from quire.operators.textindex import TextIndex, query_terms
-from quire.session import repeat_per_salt, salt_of, top_k
+from quire.session import checkpointed, repeat_per_salt, salt_of, top_k
 
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
 _BARE = re.compile(r"[\W_]+")
@@ -30,22 +31,26 @@ def _in_years(docs: DataFrame, low: int | None, high: int | None) -> DataFrame |
 
 
 def bm25(queries: DataFrame, index: TextIndex, *, docs: DataFrame | None = None, year_min: int | None = None,
-         year_max: int | None = None, k: int | None = 10, k1: float = K1, b: float = B) -> DataFrame:
+         year_max: int | None = None, k: int | None = 10, k1: float = K1, b: float = B, pairs: DataFrame | None = None) -> DataFrame:
     """Best documents of every query by weighted BM25; any term may match.
 
     The query terms carry their idf and are repeated over salts, so the postings of a
     common term are scored by many tasks.  Scores combine before the shuffle by
-    (query, document), and the top k are cut per task before the final rank.
+    (query, document), and the top k are cut per task before the final rank.  With known
+    ``pairs`` (query_id, doc_id) only their postings are looked up.
     """
     n, avgdl = index.size(), index.mean_length()
     terms = query_terms(queries, index).select("query_id", "term").distinct().join(index.terms, "term")
     idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(MIN_IDF))
-    terms = repeat_per_salt(terms.select("query_id", "term", idf.alias("idf")))
-    rows = index.postings.select("term", "doc_id", "dl", "f", salt_of("doc_id").alias("salt"))
+    terms = terms.select("query_id", "term", idf.alias("idf"))
+    rows = index.postings.select("term", "doc_id", "dl", "f")
     inside = _in_years(docs, year_min, year_max) if docs is not None else None
     if inside is not None:
         rows = rows.join(inside, "doc_id", "left_semi")
-    hit = rows.join(terms, ["term", "salt"])
+    if pairs is not None:
+        hit = pairs.select("query_id", "doc_id").join(terms, "query_id").join(rows, ["term", "doc_id"])
+    else:
+        hit = rows.withColumn("salt", salt_of("doc_id")).join(repeat_per_salt(terms), ["term", "salt"])
     part = F.col("idf") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / avgdl))
     scored = hit.groupBy("query_id", "doc_id").agg(F.sum(part).alias("raw"))
     scored = scored.select("query_id", "doc_id", F.round("raw", 6).alias("score"))
@@ -166,14 +171,15 @@ def exact(queries: DataFrame, docs: DataFrame, index: TextIndex, *, year_min: in
     """Title containment, else phrase, else all terms; a query keeps its first tier with results."""
     inside = _in_years(docs, year_min, year_max)
     kept = docs if inside is None else docs.join(inside.withColumnRenamed("doc_id", "id"), "id", "left_semi")
-    lower = F.lower("title")
-    q = F.lower("query")
-    hits = kept.select("id", "title", "year").join(queries, F.contains(lower, q))
+    lower, q = F.lower("title"), F.lower("query")
+    texts = kept.select("id", "title", "year", F.lower("title").alias("_text"))
+    hits = contains_join(texts, queries.withColumn("_query", F.lower("query"))).drop("_text", "_query")
     hits = top_k(hits, ["query_id"], [F.desc_nulls_last("year"), F.col("id")], k, "rank")
     title = hits.select("query_id", F.col("id").alias("doc_id"), F.lit(1).alias("tier"), F.when(lower == q, 1.0).when(
         F.startswith(lower, q), 0.95).otherwise(decayed(F.col("rank"))).alias("score"), F.col("rank"))
+    title = checkpointed(title)  # at most k rows per query, read by every later tier
     rest = queries.join(title.select("query_id").distinct(), "query_id", "left_anti")
-    phrase = _ranked_subset(rest, index, phrase_match(rest, index), inside, 2, k)
+    phrase = checkpointed(_ranked_subset(rest, index, phrase_match(rest, index), inside, 2, k))
     last = rest.join(phrase.select("query_id").distinct(), "query_id", "left_anti")
     every = _ranked_subset(last, index, all_terms(last, index), inside, 3, k)
     name = F.element_at(F.array(F.lit("exact_title_match"), F.lit("phrase"), F.lit("keyword_and")), F.col("tier"))
@@ -184,6 +190,5 @@ def _ranked_subset(queries: DataFrame, index: TextIndex, matches: DataFrame, ins
     ok = matches.select("query_id", "doc_id")
     if inside is not None:
         ok = ok.join(inside, "doc_id", "left_semi")
-    scored = bm25(queries, index, k=None).drop("rank").join(ok, ["query_id", "doc_id"], "left_semi")
-    out = top_k(scored, ["query_id"], [F.desc("score"), F.col("doc_id")], k, "rank")
+    out = bm25(queries, index, k=k, pairs=ok)
     return out.select("query_id", "doc_id", F.lit(tier).alias("tier"), "score", "rank")

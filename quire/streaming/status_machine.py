@@ -73,10 +73,22 @@ def status_stream(events: DataFrame, *, late: str = "1 hour", stuck_ms: int = 3_
 
 
 def status_batch(events: DataFrame) -> DataFrame:
-    """The same walk over stored events: every document's moves in time order."""
-
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
-        _, moves = walk(None, rows.sort_values(["ts", "event_id"], kind="stable"))
-        return pd.DataFrame([(key[0], *m) for m in moves], columns=["id", "ts", "old_status", "new_status", "outcome"])
-
-    return events.groupBy("id").applyInPandas(one, OUTPUT)
+    """The same walk over stored events (id, ts, event_id, status).
+
+    Events are sorted by document and time inside hash partitions and walked batch by
+    batch; only the current document's status is carried on, so a document of any size
+    streams through.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        doc, status = None, None
+        for b in batches:
+            parts = []
+            for key, rows in b.groupby("id", sort=False):
+                status, moves = walk(status if key == doc else None, rows)
+                doc = key
+                parts += [(key, *m) for m in moves]
+            yield pd.DataFrame(parts, columns=["id", "ts", "old_status", "new_status", "outcome"])
+
+    rows = events.select("id", "ts", "event_id", "status").repartition("id").sortWithinPartitions("id", "ts", "event_id")
+    return rows.mapInPandas(run, OUTPUT)
