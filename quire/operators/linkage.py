@@ -272,8 +272,14 @@ def match_existing(items: DataFrame, papers: DataFrame) -> DataFrame:
 def citation_keys(papers: DataFrame) -> DataFrame:
     """Key per paper and a letter suffix where several papers share it (a..z, then numbers)."""
     keyed = papers.select("id", citation_key("title", "authors", "year").alias("base_key"))
-    w = Window.partitionBy("base_key")
-    keyed = keyed.withColumn("holders", F.count("*").over(w)).withColumn("n", F.row_number().over(w.orderBy("id")))
+    # ranks are built from ranges of ids, so a key shared by much of the library is never sorted whole
+    keyed = keyed.withColumn("range", F.floor(F.col("id") / 65536))
+    sizes = keyed.groupBy("base_key", "range").agg(F.count("*").alias("size"))
+    before = Window.partitionBy("base_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).withColumn(
+        "holders", F.sum("size").over(Window.partitionBy("base_key")))
+    place = F.row_number().over(Window.partitionBy("base_key", "range").orderBy("id"))
+    keyed = keyed.withColumn("place", place).join(sizes, ["base_key", "range"]).withColumn("n", (F.col("before") + F.col("place")).cast("int"))
     letter = F.when(F.col("n") <= 26, F.char(F.lit(96) + F.col("n"))).otherwise(F.concat(F.lit("_"), F.col("n").cast("string")))
     key = F.when(F.col("holders") > 1, F.concat("base_key", letter)).otherwise(F.col("base_key"))
     return keyed.select("id", "base_key", "holders", key.alias("citation_key"))
