@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as P
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, quality, simhash
+from quire.llm import bpe, quality, rules, simhash
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_quality_rules", rules.DECISIONS_SQL)
+def _(spark, sf_dir):
+    return rules.decisions(table(spark, sf_dir, "documents"))
+
+
 @query("op7_simhash")
 def _(spark, sf_dir):
     return simhash.classes(table(spark, sf_dir, "documents"))
