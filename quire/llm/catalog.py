@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as P
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, quality, rules, simhash
+from quire.llm import bpe, licenses, quality, rules, simhash
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,11 @@ def _(spark, sf_dir):
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op9_licenses", licenses.labels_sql())
+def _(spark, sf_dir):
+    return licenses.labels(table(spark, sf_dir, "documents"))
+
+
 @query("op10_bpe")
 def _(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), BPE, P.PATTERN)
