@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as P
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, licenses, quality, rules, simhash
+from quire.llm import bpe, licenses, mixing, quality, rules, simhash, winnow
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,16 @@ def _(spark, sf_dir):
     return rules.decisions(table(spark, sf_dir, "documents"))
 
 
+@query("op2_mixing")
+def _(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op5_winnowing")
+def _(spark, sf_dir):
+    return winnow.edited(table(spark, sf_dir, "documents"))
+
+
 @query("op7_simhash")
 def _(spark, sf_dir):
     return simhash.classes(table(spark, sf_dir, "documents"))
