@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as P
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, licenses, mixing, quality, rules, simhash, winnow
+from quire.llm import bpe, licenses, mixing, quality, recompression, rules, simhash, winnow
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +37,11 @@ def _(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+@query("op4_recompression", recompression.DIGESTS_SQL)
+def _(spark, sf_dir):
+    return recompression.digests(table(spark, sf_dir, "documents"))
+
+
 @query("op5_winnowing")
 def _(spark, sf_dir):
     return winnow.edited(table(spark, sf_dir, "documents"))
