@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quire.llm.common import col, others, pieces, schema_with
+from quire.llm.common import col, pieces, schema_with
 from quire.session import checkpointed
 
 SIZE, PAIR_ROUNDS = 20, 3
@@ -140,15 +140,6 @@ def elect(words: Words, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.nd
     return at, text, chosen, start, lo, hi
 
 
-def _first_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by keys, and which rows of that order begin a group of equal leading keys (all but the last three)."""
-    order = np.lexsort(keys[::-1])
-    lead = keys[:-3] if len(keys) > 3 else keys[:1]
-    new = np.ones(len(order), bool)
-    new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in lead]) if len(order) > 1 else new[1:]
-    return order, new
-
-
 def _elected(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Rows (key, doc, pos): elected symbols, once per document and place.  A symbol that an earlier row of the piece shares, or that
     a later one does, is known to be shared: those rows carry ``-1 - pos``; only the first of them keeps the key, to tell other pieces."""
@@ -232,14 +223,16 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", size: int = SIZE, dro
     many = F.count("*").over(Window.partitionBy("key"))
     shared = rows.withColumn("n", many).filter("n > 1 OR pos < 0")
     spots = checkpointed(shared.groupBy("doc").agg(F.collect_list(F.when(F.col("pos") < 0, -1 - F.col("pos")).otherwise(F.col("pos"))).alias("spots")))
-    # one exchange of the texts serves both sides below
+    # both sides below read the same columns of one exchange of the texts
     kept = [c for c in docs.columns if c.lower() not in {*new, *(d.lower() for d in drop)}]
-    base = docs.select(F.struct(*map(col, kept)).alias("own"), *keys()).repartition("doc").withColumn("tie", F.xxhash64("text"))
-    found = base.join(spots, "doc").select("text", "doc", "tie", "spots").mapInArrow(lambda it: _windows(it, size), "k1 long, k2 long, doc long, tie long, pos int")
+    base = docs.select(*[col(c).alias(f"own_{k}") for k, c in enumerate(kept)], *keys()).repartition("doc").withColumn("tie", F.xxhash64("text"))
+    found = base.join(spots, "doc").mapInArrow(lambda it: _windows(it, size), "k1 long, k2 long, doc long, tie long, pos int")
     place = F.struct("doc", "tie", "pos")
     lost = found.withColumn("head", F.min(place).over(Window.partitionBy("k1", "k2"))).filter((F.col("pos") < 0) | (F.col("head") != place))
-    lost = lost.groupBy("doc", "tie").agg(F.collect_list(F.when(F.col("pos") < 0, -1 - F.col("pos")).otherwise(F.col("pos"))).alias("repeats"))
-    src = base.join(lost, ["doc", "tie"], "left").select(*[F.col("own").getField(c).alias(f"own_{k}") for k, c in enumerate(kept)], "text", "repeats")
+    at = F.when(F.col("pos") < 0, -1 - F.col("pos")).otherwise(F.col("pos"))
+    lost = lost.groupBy("doc").agg(F.collect_list(F.struct("tie", at.alias("pos"))).alias("repeats"))
+    mine = F.transform(F.filter("repeats", lambda r: r["tie"] == F.col("tie")), lambda r: r["pos"])
+    src = base.join(lost, "doc", "left").select(*[f"own_{k}" for k in range(len(kept))], "text", mine.alias("repeats"))
     out = src.mapInArrow(lambda it: _cut(it, size), schema_with(src.drop("text", "repeats"), kept="string", n_words="long", n_removed="long"))
     return out.select(*[F.col(f"own_{k}").alias(c) for k, c in enumerate(kept)], *new)
 

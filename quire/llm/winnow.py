@@ -82,7 +82,8 @@ def edited(docs: DataFrame, *, k: int = K, window: int = WINDOW) -> DataFrame:
     Where a ``doc_id`` repeats, every row is compared with the row of the next id whose text hash is smallest; a row without
     ``doc_id`` has an empty text as its next.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    none = F.lit((1 << 63) - 1)  # stands for a missing id: a key without nulls keeps the two sides of the exchange alike
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     base = winnow(rows, F.col("text"), k=k, window=window).repartition("doc_id")  # both sides below read this one exchange
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
     after = next_ids(docs).select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), "need")
@@ -94,5 +95,5 @@ def edited(docs: DataFrame, *, k: int = K, window: int = WINDOW) -> DataFrame:
     d = winnow(d, F.col("new_text"), "new_marks", k=k, window=window)
     d = d.select("doc_id", "n_chars", F.sha2("new_text", 256).alias("edited_sha256"), "marks", "new_marks", hashes(F.col("marks")).alias("own"), hashes(F.col("new_marks")).alias("new"),
                  F.coalesce("next_hashes", F.array().cast("array<bigint>")).alias("next_hashes"))
-    return d.select("doc_id", "n_chars", "edited_sha256", shown(F.col("marks")).alias("fingerprint"), shown(F.col("new_marks")).alias("edited_fingerprint"),
+    return d.select(F.nullif("doc_id", none).alias("doc_id"), "n_chars", "edited_sha256", shown(F.col("marks")).alias("fingerprint"), shown(F.col("new_marks")).alias("edited_fingerprint"),
                     likeness(F.col("own"), F.col("new")).alias("near_edited"), likeness(F.col("own"), F.col("next_hashes")).alias("near_next"))
