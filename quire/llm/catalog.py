@@ -5,12 +5,12 @@ from __future__ import annotations
 import public_tokenizers as P
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, licenses, mixing, quality, recompression, rules, simhash, winnow
+from quire.llm import bpe, licenses, mixing, quality, recompression, rules, simhash, trie, warc, winnow
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-BPE = P.path("byte_bpe_multi_50k.tiktoken")
+BPE, UNIGRAM = P.path("byte_bpe_multi_50k.tiktoken"), P.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def _(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+@query("op3_warc", warc.derivatives_sql())
+def _(spark, sf_dir):
+    return warc.derivatives(table(spark, sf_dir, "pages"))
+
+
 @query("op4_recompression", recompression.DIGESTS_SQL)
 def _(spark, sf_dir):
     return recompression.digests(table(spark, sf_dir, "documents"))
@@ -47,6 +52,11 @@ def _(spark, sf_dir):
     return winnow.edited(table(spark, sf_dir, "documents"))
 
 
+@query("op6_token_counts")
+def _(spark, sf_dir):
+    return trie.counts(table(spark, sf_dir, "documents"), UNIGRAM)
+
+
 @query("op7_simhash")
 def _(spark, sf_dir):
     return simhash.classes(table(spark, sf_dir, "documents"))
