@@ -14,6 +14,7 @@ as far as the longest token).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,14 +28,18 @@ MARK = "▁"
 
 
 def read_vocabulary(path: str) -> tuple[dict[str, float], float]:
-    """Pieces and their scores from a sentencepiece model, and the score of a byte piece."""
+    """Log probability of each piece of a sentencepiece model, and of a byte.
+
+    The model's scores order its pieces; by Zipf's law the piece of rank r has probability 1 / (r + 1) before scaling to one, and a byte
+    that of the rank after the last.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    n = model.get_piece_size()
-    own = {model.id_to_piece(i): model.get_score(i) for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))}
-    bytes_ = [model.get_score(i) for i in range(n) if model.is_byte(i)]
-    return own, min([*bytes_, min(own.values(), default=0.0)]) - 1.0
+    own = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
+    own.sort(key=lambda i: (-model.get_score(i), i))
+    scale = math.log(sum(1 / (r + 1) for r in range(len(own) + 256)))
+    return {model.id_to_piece(i): -math.log(r + 1) - scale for r, i in enumerate(own)}, -math.log(len(own) + 1) - scale
 
 
 class Walk:
