@@ -113,7 +113,7 @@ def rules() -> list[tuple[int, str, int, float, str, str, str]]:
     named: dict[str, str] = {}
     before = lambda p: f"(^| ){p}$" if p else "$"
     after = lambda p: f"^{p}( |$)" if p else "^"
-    lead = "(v |version )?"
+    lead = "(v ?|version )?"
     for label, titles, shorts, versions in FAMILIES:
         for v in versions:
             full, number = f"{label}-{v}", _version(v)

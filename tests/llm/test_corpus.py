@@ -1,0 +1,209 @@
+"""Mixing, repeated passages, near-duplicates and the pipeline against brute force."""
+
+import hashlib
+import random
+from collections import Counter, defaultdict
+
+import corpus_pipeline
+import numpy as np
+import xxhash
+from conftest_llm import SCHEMA, sample, words
+
+from quire.llm import mixing, recompression, simhash
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+def cut(rows, size=recompression.SIZE):
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        w, gone = words(t), set()
+        for s in range(len(w) - size + 1):
+            g = tuple(w[s:s + size])
+            if g in seen:
+                gone.update(range(s, s + size))
+            seen.add(g)
+        out[i] = (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
+    return out
+
+
+def test_repeats(docs, rows, nothing):
+    want, got = cut([(i, t) for i, t, *_ in rows]), by_id(recompression.digests(docs))
+    assert recompression.digests(nothing).count() == 0 and set(got) == set(want) and any(n for _, n, _ in want.values())
+    for i, (n, gone, text) in want.items():
+        assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) == (n, gone, hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_repeats_hard_windows(spark):
+    """Few words, so that runs, periods and overlaps abound; many small pieces of one passage."""
+    r = random.Random(11)
+    base = [r.choice("ab") for _ in range(60)]
+    texts = [" ".join(base[a:a + r.randrange(18, 40)]) for a in (r.randrange(40) for _ in range(60))]
+    texts += [" ".join(["a"] * n) for n in (19, 20, 21, 50, 90)] + [" ".join(["a", "b"] * n) for n in (9, 10, 11, 30)] + [" ".join(["a", "b", "c"] * 15 + ["a"] * 25)] * 3
+    texts += [" ".join(r.choice("abc") for _ in range(r.randrange(15, 200))) for _ in range(40)]
+    rows = [(k * 2, t) for k, t in enumerate(r.sample(texts, len(texts)))]
+    want, got = cut(rows), by_id(recompression.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)))
+    assert all((got[i]["n_words"], got[i]["n_removed"], got[i]["kept"]) == x for i, x in want.items())
+
+
+def test_repeats_rows_without_or_with_equal_ids(spark):
+    a, b = " ".join(f"w{k}" for k in range(30)), " ".join(f"w{k}" for k in range(5, 40))
+    df = spark.createDataFrame([(1, a, 7), (1, a, 7), (2, b, 8), (None, a, 9)], "doc_id long, text string, n_words int")
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in recompression.remove_repeats(df).collect())
+    assert got == [(0, 30, 30), (1, 30, 0), (1, 30, 0), (2, 35, 25)]
+
+
+def test_elections_agree():
+    """Equal windows elect equal symbols whatever stands around them."""
+    import pyarrow as pa
+
+    r = random.Random(2)
+    w = recompression.Words(pa.array([" ".join(r.choice("abcdefgh") for _ in range(3000)) for _ in range(3)] + ["a " * 60]))
+    at, _, chosen, start, lo, hi = recompression.elect(w, 6)
+    seen = {}
+    for p, c in zip(at, chosen):
+        g = tuple(w.first[p:p + 6])
+        mine = (start[c] - p, lo[c] - p, hi[c] - p) if c >= 0 else None
+        assert seen.setdefault(g, mine) == mine and (mine is None or 0 <= mine[1] and mine[2] <= 6)
+    assert len(seen) < len(at)
+
+
+def fingerprint(t, size=4):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    w = words(low)
+    sh = [" ".join(w[i:i + size]) for i in range(max(1, len(w) - size + 1))] if w else []
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def closed(fps, within=4):
+    """Smallest index reachable from each fingerprint."""
+    n, fps = len(fps), np.array(fps, np.uint64)
+    root = list(range(n))
+    for _ in range(n):
+        new = [min(root[j] for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= within)) for i in range(n)]
+        if new == root:
+            break
+        root = new
+    return root
+
+
+def test_simhash(docs, rows, nothing):
+    rows = sorted(rows)
+    fps = [fingerprint(t) for _, t, *_ in rows]
+    want, got = closed(fps), by_id(simhash.classes(docs))
+    assert simhash.classes(nothing).count() == 0
+    for k, (i, *_) in enumerate(rows):
+        assert (got[i]["fingerprint"], got[i]["component_id"]) == (f"{fps[k]:016x}", rows[want[k]][0])
+    stay = {r["doc_id"] for r in simhash.keep_first(docs).collect()}
+    assert stay == {rows[w][0] for w in want}
+
+
+def test_links_through_large_buckets(spark):
+    """With tiny buckets all three rounds of blocks are taken, and no connection is lost."""
+    r = random.Random(4)
+    fps = {0, (1 << 64) - 1, 1 << 63}
+    for _ in range(12):
+        x = r.getrandbits(64)
+        for _ in range(14):
+            fps.add(x)
+            for b in r.sample(range(64), r.randrange(1, 6)):
+                x ^= 1 << b
+    fps = sorted(fps)
+    signed = [simhash._signed(x) for x in fps]
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    links = [(a, b) for a, b in simhash.close_links(df, bucket=2).collect()]
+    un = lambda x: x & ((1 << 64) - 1)
+    assert all((un(a) ^ un(b)).bit_count() <= 4 for a, b in links)
+    roots = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = closed(fps)
+    groups = defaultdict(set)
+    for k, x in enumerate(signed):
+        groups[want[k]].add(roots.get(x, x))
+    assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
+
+
+def test_components_of_a_long_chain(spark):
+    n = 70
+    r = random.Random(8)
+    names = r.sample(range(1000), n)
+    got = simhash.components(spark.createDataFrame(list(zip(names, names[1:])) + [(5000, 5001)], "a long, b long")).collect()
+    assert {x["root"] for x in got if x["node"] < 5000} == {min(names)} and (5001, 5000) in {(x["node"], x["root"]) for x in got}
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def goals(sizes):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    capped = set()
+    while True:
+        free = [s for s in names if s not in capped]
+        level = (sum(sizes.values()) - sum(3 * sizes[s] for s in capped)) / sum(w[s] for s in free)
+        more = {s for s in free if level * w[s] > 3 * sizes[s]}
+        if not more:
+            return {s: 3 * sizes[s] if s in capped else level * w[s] for s in names}
+        capped |= more
+
+
+def test_mixing(docs, rows, nothing):
+    got = by_id(mixing.mix(docs, block=16, shard=64))
+    assert mixing.mix(nothing).count() == 0 and by_id(mixing.mix(docs, block=16, shard=64)) == got
+    total, taken = Counter(), Counter()
+    for i, t, _, s, _ in rows:
+        total[s] += len(words(t))
+    goal = goals(total)
+    for i, t, _, s, _ in rows:
+        r = got[i]
+        assert (r["size"], r["source_size"]) == (len(words(t)), total[s]) and abs(r["target"] - goal[s]) < 1e-6 and 0 <= r["taken"] <= 3 * r["size"]
+        taken[s] += r["taken"]
+    assert all(abs(taken[s] - goal[s]) <= 0.1 * goal[s] + 32 for s in goal)
+
+
+def test_mixed_texts(docs, rows):
+    text = {i: words(t) for i, t, *_ in rows}
+    out = mixing.mixed(docs, block=16, shard=64)
+    assert out.columns == docs.columns
+    got = Counter()
+    for r in out.collect():
+        got[r["doc_id"]] += len(words(r["text"]))
+        assert not Counter(words(r["text"])) - Counter(text[r["doc_id"]])
+    want = {i: r["taken"] for i, r in by_id(mixing.mix(docs.repartition(3), block=16, shard=64)).items()}
+    assert abs(sum(got.values()) - sum(want.values())) <= 64 and all(n <= 3 * len(text[i]) for i, n in got.items())
+
+
+def test_permutation(spark):
+    from pyspark.sql import functions as F
+
+    for n in (1, 2, 7, 100):
+        df = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(1), F.lit("s"), F.lit(0)).alias("p"))
+        p = [r["p"] for r in df.collect()]
+        assert sorted(p) == list(range(n)) and (n < 50 or p != list(range(n)))
+
+
+def test_pipeline(spark, tmp_path):
+    rows = [r for r in sample(9, 60)]
+    clean = " ".join(f"plain word{k} here." for k in range(80))
+    rows += [(1000 + k, clean if k < 3 else clean.replace("word7 ", "other "), "en", "s1", 0) for k in range(5)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int("***" not in (t or ""))) for i, t, *_ in rows], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    read = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = read
+        out = stage(spark, read, str(tmp_path))
+        assert out.columns == corpus_pipeline.COLUMNS, name
+        out.write.parquet(f"{tmp_path}/{stage.__name__}")
+        read = spark.read.parquet(f"{tmp_path}/{stage.__name__}")
+        a, b = ({r["doc_id"]: r["text"] for r in d.collect()} for d in (before, read))
+        if stage is corpus_pipeline.near_dedup:
+            ids = sorted(a)
+            assert set(b) == {ids[k] for k in closed([fingerprint(a[i]) for i in ids])} and all(b[i] == a[i] for i in b)
+        if stage is corpus_pipeline.cut_repeats:
+            want = cut(list(a.items()))
+            assert b == {i: (a[i] if not gone else kept) for i, (n, gone, kept) in want.items() if not gone or gone < n}
+    last = corpus_pipeline.STAGES[-1][1](spark, read, str(tmp_path)).collect()
+    assert {r["decoded_sha256"] for r in last} == {hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in read.collect()}
+    whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["ids_sha256"]) for r in whole) == Counter((r["doc_id"], r["ids_sha256"]) for r in last)
