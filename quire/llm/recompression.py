@@ -7,16 +7,20 @@ identity depends on.  A window of ``size`` words elects, among the high-level sy
 name; the election depends on the window's words alone, so equal windows elect equal symbols.  Where a window determines none
 (inside a long run, say) its own words are elected.
 
-1. Elected symbols and their dependence intervals are counted over the corpus; only shared ones reveal anything.
-2. Windows whose symbol is shared are named by their words (128 bits), and all but the first window of a name are repeats.
+Neighbouring windows that elect the same symbol form a block, named by the symbol and by all the block's words.
+
+1. Blocks are grouped by symbol.  A block with an earlier equal block is a repeat as a whole.  If all blocks of a symbol are equal,
+   their windows stand nowhere else, and the first block is clean.
+2. Where a symbol has different blocks (the ends of repeats), the windows of the first block of each kind are named by their
+   words (128 bits), and all but the first window of a name are repeats.
 3. Words covered by a repeat are removed.
 
-Equal symbols or windows inside one Arrow piece are settled there: of a very frequent passage one row per piece is shuffled, so
+Equal blocks or windows inside one Arrow piece are settled there: of a very frequent passage one row per piece is shuffled, so
 no task gathers a passage's copies.  Only (hash, id, position) rows are shuffled, and the text once.
 
-Defined results: null, empty and blank texts have no words; a text shorter than a window loses nothing; rows equal in ``doc_id``
-and text are one document and get the same result; other rows that share a ``doc_id`` are ordered by a hash of their text; rows
-without ``doc_id`` come last.
+Defined results: null, empty and blank texts have no words; a text shorter than a window loses nothing; rows that share a ``doc_id`` are
+parts of one document, in the order of a hash of their text (so a repeated row repeats the first); rows without ``doc_id`` come
+last, by a hash of their text.
 """
 
 from __future__ import annotations
@@ -29,12 +33,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quire.llm.common import col, pieces, schema_with
-from quire.session import checkpointed
 
 SIZE, PAIR_ROUNDS = 20, 3
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_LAST = (1 << 63) - 1
 
 
 def mixed_bits(x: np.ndarray) -> np.ndarray:
@@ -140,100 +142,132 @@ def elect(words: Words, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.nd
     return at, text, chosen, start, lo, hi
 
 
+def _blocks(words: Words, size: int) -> tuple[np.ndarray, ...]:
+    """Blocks of a piece: text, first window (in the text), number of windows, symbol key and key of the words (32 bits)."""
+    at, text, chosen, start, lo, hi = elect(words, size)
+    new = np.ones(len(at), bool)
+    new[1:] = (chosen[1:] != chosen[:-1]) | (chosen[1:] < 0) | (text[1:] != text[:-1])
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(at)))
+    at, text, chosen = at[first], text[first], chosen[first]
+    low, high, place = at.copy(), at + size, np.zeros(len(at), np.int64)  # a window without a symbol stands for itself
+    by = np.flatnonzero(chosen >= 0)
+    low[by], high[by], place[by] = lo[chosen[by]], hi[chosen[by]], start[chosen[by]] - lo[chosen[by]] + 1
+    symbol = mixed_bits(Ranges(words.first).of(low, high) + place.astype(np.uint64))
+    whole = mixed_bits(Ranges(words.second).of(at, at + size - 1 + count) + (low - at).astype(np.uint64) * _P) >> np.uint64(32)
+    return text, at - words.offsets[text], count, symbol, whole
+
+
+def _settled(order: np.ndarray, *lead: np.ndarray) -> np.ndarray:
+    """In sorted order: rows that follow one with equal leading keys."""
+    same = np.zeros(len(order), bool)
+    if len(order) > 1:
+        same[1:] = np.logical_and.reduce([k[order][1:] == k[order][:-1] for k in lead])
+    return same
+
+
 def _elected(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, doc, pos): elected symbols, once per document and place.  A symbol that an earlier row of the piece shares, or that
-    a later one does, is known to be shared: those rows carry ``-1 - pos``; only the first of them keeps the key, to tell other pieces."""
+    """Rows (key, doc, part, windows, mark): blocks by symbol; ``mark`` holds the words' key above the block's place.  A block that an earlier
+    one of the piece equals is settled: it has a negative number of windows and a key of its own."""
     for batch in pieces(batches, "text"):
         words = Words(batch.column("text"))
-        at, text, chosen, start, lo, hi = elect(words, size)
-        ranges = Ranges(words.first)
-        own = np.flatnonzero(chosen < 0)
-        used = np.unique(chosen[chosen >= 0])
-        of = np.searchsorted(words.offsets, start[used], "right") - 1
-        key = np.concatenate((ranges.of(lo[used], hi[used]) + mixed_bits((start[used] - lo[used]).astype(np.uint64)), ranges.of(at[own], at[own] + size)))
-        doc = batch.column("doc").to_numpy(zero_copy_only=False)[np.concatenate((of, text[own])).astype(np.int64)] if len(key) else np.zeros(0, np.int64)
-        pos = np.concatenate((2 * (start[used] - words.offsets[of]), 2 * (at[own] - words.offsets[text[own]]) + 1)).astype(np.int64)
-        order = np.argsort(key, kind="stable")
-        key, doc, pos = key[order], doc[order], pos[order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        shared = ~new
-        shared[:-1] |= ~new[1:]
-        key = np.where(new, key, mixed_bits(doc.astype(np.uint64) * _P + pos.astype(np.uint64)))
-        pos = np.where(shared, -1 - pos, pos)
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(pos.astype(np.int32))], ["key", "doc", "pos"])
+        text, at, count, symbol, whole = _blocks(words, size)
+        doc, part = (batch.column(c).to_numpy(zero_copy_only=False)[text].astype(np.int64) for c in ("doc", "part"))
+        order = np.lexsort((at, part, doc, whole, symbol))
+        later = _settled(order, symbol, whole)
+        text, at, count, symbol, whole, doc, part = (x[order] for x in (text, at, count, symbol, whole, doc, part))
+        symbol = np.where(later, mixed_bits(doc.astype(np.uint64)) >> np.uint64(40), symbol)
+        mark = ((whole << np.uint64(32)) | at.astype(np.uint64)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(symbol.view(np.int64)), pa.array(doc), pa.array(part.astype(np.int32)), pa.array(np.where(later, -count, count).astype(np.int32)), pa.array(mark)],
+                                         ["key", "doc", "part", "windows", "mark"])
+
+
+def _lists(column: pa.Array, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Flat (row, place, windows, repeat) of the spots that belong to each row's part."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    row, flat = np.repeat(np.arange(len(sizes)), sizes), column.flatten()
+    own, place, windows, repeat = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+    mine = own == part[row] if len(row) else np.zeros(0, bool)
+    return row[mine], place[mine].astype(np.int64), windows[mine].astype(np.int64), repeat[mine].astype(bool)
+
+
+def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges that begin at ``first``."""
+    return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
 
 
 def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Rows (k1, k2, doc, tie, pos): windows whose symbol is shared, under their words' names.  Windows that repeat an earlier one of the
-    piece are settled: they carry a name of their own and ``-1 - pos``."""
+    """Rows (k1, k2, doc, part, pos): the windows of open blocks under their words' names.  Windows that repeat an earlier one of the piece
+    are settled: they carry a small key and ``-1 - pos``."""
     for batch in pieces(batches, "text"):
-        words = Words(batch.column("text"))
-        at, text, chosen, start, lo, hi = elect(words, size)
-        spots = batch.column("spots")
-        place = spots.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(spots).to_numpy(zero_copy_only=False).astype(np.int64))
-        base = words.offsets[row]
-        single = place % 2 == 1
-        marked = np.zeros(len(words.first) + 1, bool)  # words where a shared symbol starts, and where a shared window does
-        marked[(base + place // 2)[~single]] = True
-        alone = np.zeros(len(words.first) + 1, bool)
-        alone[(base + place // 2)[single]] = True
-        hit = np.where(chosen >= 0, marked[start[chosen]] if len(start) else False, alone[at])
-        at, text = at[hit], text[hit]
+        part = batch.column("part").to_numpy(zero_copy_only=False).astype(np.int64)
+        row, place, count, repeat = _lists(batch.column("spots"), part)
+        row, place, count = row[~repeat], place[~repeat], count[~repeat]
+        used = np.unique(row)
+        if not len(used):
+            continue
+        words = Words(batch.column("text").take(pa.array(used)))
+        text = np.repeat(np.searchsorted(used, row), count)
+        pos = _spread(place, count)
+        at = pos + words.offsets[text]
         k1, k2 = Ranges(words.first).of(at, at + size), Ranges(words.second).of(at, at + size)
-        doc, tie = (batch.column(c).to_numpy(zero_copy_only=False)[text] for c in ("doc", "tie"))
-        pos = at - words.offsets[text]
-        order = np.lexsort((pos, tie, doc, k2, k1))
-        k1, k2, doc, tie, pos = (x[order] for x in (k1, k2, doc, tie, pos))
-        new = np.ones(len(k1), bool)
-        new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-        head = np.maximum.accumulate(np.where(new, np.arange(len(k1)), 0)) if len(k1) else np.zeros(0, np.int64)
-        later = (doc != doc[head]) | (tie != tie[head]) | (pos != pos[head])
-        k1 = np.where(later, mixed_bits(doc.astype(np.uint64) * _P + mixed_bits(tie.astype(np.uint64)) + pos.astype(np.uint64)), k1)
-        cols = [k1.view(np.int64), k2.view(np.int64), doc, tie, np.where(later, -1 - pos, pos).astype(np.int32)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["k1", "k2", "doc", "tie", "pos"])
+        doc, part = batch.column("doc").to_numpy(zero_copy_only=False)[used[text]], part[used[text]]
+        order = np.lexsort((pos, part, doc, k2, k1))
+        later = _settled(order, k1, k2)
+        k1, k2, doc, part, pos = (x[order] for x in (k1, k2, doc, part, pos))
+        k1, k2 = np.where(later, mixed_bits(doc.astype(np.uint64)) >> np.uint64(40), k1), np.where(later, np.uint64(0), k2)
+        cols = [k1.view(np.int64), k2.view(np.int64), doc, part.astype(np.int32), np.where(later, -1 - pos, pos).astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["k1", "k2", "doc", "part", "pos"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Kept text, number of words and number removed, in place of the text and the repeats' places."""
     for batch in pieces(batches, "text"):
         words = Words(batch.column("text"))
-        repeats = pc.fill_null(pc.list_value_length(batch.column("repeats")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        at = batch.column("repeats").flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(words.offsets[:-1], repeats)
+        part = batch.column("part").to_numpy(zero_copy_only=False).astype(np.int64)
         depth = np.zeros(len(words.first) + 1, np.int64)
-        np.add.at(depth, at, 1)
-        np.add.at(depth, at + size, -1)
+        for name in ("spots", "lost"):
+            row, place, count, repeat = _lists(batch.column(name), part)
+            at, count = (place + words.offsets[row])[repeat], count[repeat]
+            np.add.at(depth, at, 1)
+            np.add.at(depth, at + count - 1 + size, -1)
         gone = np.cumsum(depth[:-1]) > 0
         kept = np.concatenate(([0], np.cumsum(~gone)))[words.offsets]
         text = pc.binary_join(pa.ListArray.from_arrays(pa.array(kept.astype(np.int32)), words.flat.filter(pa.array(~gone))), " ")
         total = np.diff(words.offsets)
-        names = [c for c in batch.schema.names if c not in ("text", "repeats")]
+        names = [c for c in batch.schema.names if c.startswith("own_")]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), text, pa.array(total), pa.array(total - np.diff(kept))], [*names, "kept", "n_words", "n_removed"])
 
 
 def remove_repeats(docs: DataFrame, *, text: str = "text", size: int = SIZE, drop: tuple[str, ...] = ()) -> DataFrame:
     """Add to each row ``kept`` (the words that no repeat covers, joined by a space), ``n_words`` and ``n_removed``.
 
-    ``docs`` has ``doc_id``; a window of ``size`` words is a repeat if its words also start earlier (smaller id, or before in the text).
+    ``docs`` has ``doc_id``; a window of ``size`` words is a repeat if its words also start earlier (smaller id, or before in the document).
     """
     new = ["kept", "n_words", "n_removed"]
-    keys = lambda *more: [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.coalesce(col(text).cast("string"), F.lit("")).alias("text"), *more]
-    rows = docs.select(*keys()).mapInArrow(lambda it: _elected(it, size), "key long, doc long, pos int")
-    many = F.count("*").over(Window.partitionBy("key"))
-    shared = rows.withColumn("n", many).filter("n > 1 OR pos < 0")
-    spots = checkpointed(shared.groupBy("doc").agg(F.collect_list(F.when(F.col("pos") < 0, -1 - F.col("pos")).otherwise(F.col("pos"))).alias("spots")))
-    # both sides below read the same columns of one exchange of the texts
+    body = F.coalesce(col(text).cast("string"), F.lit(""))
+    # rows without an id stand in the upper quarter of the numbers, spread by their text
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(body), 2))
     kept = [c for c in docs.columns if c.lower() not in {*new, *(d.lower() for d in drop)}]
-    base = docs.select(*[col(c).alias(f"own_{k}") for k, c in enumerate(kept)], *keys()).repartition("doc").withColumn("tie", F.xxhash64("text"))
-    found = base.join(spots, "doc").mapInArrow(lambda it: _windows(it, size), "k1 long, k2 long, doc long, tie long, pos int")
-    place = F.struct("doc", "tie", "pos")
-    lost = found.withColumn("head", F.min(place).over(Window.partitionBy("k1", "k2"))).filter((F.col("pos") < 0) | (F.col("head") != place))
-    at = F.when(F.col("pos") < 0, -1 - F.col("pos")).otherwise(F.col("pos"))
-    lost = lost.groupBy("doc").agg(F.collect_list(F.struct("tie", at.alias("pos"))).alias("repeats"))
-    mine = F.transform(F.filter("repeats", lambda r: r["tie"] == F.col("tie")), lambda r: r["pos"])
-    src = base.join(lost, "doc", "left").select(*[f"own_{k}" for k in range(len(kept))], "text", mine.alias("repeats"))
-    out = src.mapInArrow(lambda it: _cut(it, size), schema_with(src.drop("text", "repeats"), kept="string", n_words="long", n_removed="long"))
+    # every step below reads the same columns of this one exchange of the texts
+    base = docs.select(*[col(c).alias(f"own_{k}") for k, c in enumerate(kept)], doc.alias("doc"), body.alias("text")).repartition("doc")
+    base = base.withColumn("part", F.row_number().over(Window.partitionBy("doc").orderBy(F.xxhash64("text"))))
+    blocks = base.mapInArrow(lambda it: _elected(it, size), "key long, doc long, part int, windows int, mark long")
+    group = Window.partitionBy("key").orderBy("whole", "doc", "part", "mark")
+    every = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    blocks = blocks.withColumn("whole", F.shiftright("mark", 32))
+    seen = blocks.withColumns({"repeat": (F.col("windows") < 0) | (F.lag("whole").over(group) == F.col("whole")), "kinds": F.max("whole").over(every) - F.min("whole").over(every)})
+    # settled blocks stand under small keys beside no other block that counts
+    seen = seen.filter(F.col("repeat") | ((F.col("kinds") != 0) & (F.col("windows") > 0)))
+    place = F.col("mark").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    one = lambda place, windows, repeat: F.struct("part", place.alias("place"), windows.alias("windows"), repeat.alias("repeat"))
+    spots = seen.groupBy("doc").agg(F.collect_list(one(place, F.abs("windows"), F.coalesce("repeat", F.lit(False)))).alias("spots"))
+    open_ = base.join(spots, "doc").mapInArrow(lambda it: _windows(it, size), "k1 long, k2 long, doc long, part int, pos int")
+    first = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("doc", "part", "pos"))
+    lost = open_.withColumn("nth", first).filter("pos < 0 OR nth > 1")
+    lost = lost.groupBy("doc").agg(F.collect_list(one(F.when(F.col("pos") < 0, -1 - F.col("pos")).otherwise(F.col("pos")), F.lit(1), F.lit(True))).alias("lost"))
+    src = base.join(spots, "doc", "left").join(lost, "doc", "left")
+    out = src.mapInArrow(lambda it: _cut(it, size), schema_with(src.select(*[f"own_{k}" for k in range(len(kept))]), kept="string", n_words="long", n_removed="long"))
     return out.select(*[F.col(f"own_{k}").alias(c) for k, c in enumerate(kept)], *new)
 
 
