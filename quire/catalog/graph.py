@@ -130,6 +130,13 @@ def _(t):
     return per_level(graph.chain(t.edges, parts(t), depth=2, visited=True))
 
 
+@query("g09_chain_deep", """SELECT p.p_partkey AS seed_id, l.level, 1::BIGINT AS papers, q.p_partkey AS id_sum FROM part p, (SELECT unnest(range(1, 6))::INT AS level) l JOIN part q ON q.p_partkey = p.p_partkey + l.level""")
+def _(t):
+    # one long path: every paper cites the next
+    path = parts(t).select(F.col("id").alias("citing"), (F.col("id") + 1).alias("cited"))
+    return per_level(graph.chain(path.join(parts(t).select(F.col("id").alias("cited")), "cited", "left_semi"), parts(t), depth=5))
+
+
 @query("g10_link_claims", """
     WITH c AS (SELECT l_orderkey AS claim_id, l_linenumber AS num, l_partkey, l_suppkey FROM lineitem WHERE l_linestatus = 'O'),
     r AS (SELECT paper_id, reference_order, max(reference_id) AS reference_id, arg_max(matched_paper_id IS NOT NULL, reference_id * 2 + CASE WHEN matched_paper_id IS NOT NULL THEN 1 ELSE 0 END) AS m FROM refs GROUP BY 1, 2),
@@ -149,3 +156,11 @@ def _(t):
     SELECT root_id, id, depth FROM c""", "collections")
 def _(t):
     return graph.collection_closure(t.collections)
+
+
+@query("g11_collection_closure_deep", """
+    SELECT a.c_custkey AS root_id, b.c_custkey AS id, CAST(b.c_custkey - a.c_custkey AS INT) AS depth FROM customer a JOIN customer b ON b.c_custkey // 70 = a.c_custkey // 70 AND b.c_custkey >= a.c_custkey""")
+def _(t):
+    # chains of seventy collections
+    c = t.customer.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 70 > 0, F.col("c_custkey") - 1).alias("parent_id"))
+    return graph.collection_closure(c)

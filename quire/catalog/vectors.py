@@ -24,10 +24,8 @@ def _(t):
 
 @query("r09_similar_papers_blocks", f"WITH {PAIRS} SELECT query_id, id, score, rank FROM (SELECT *, {TOP} FROM p WHERE query_id <> id AND score >= 0.3) WHERE rank <= 10")
 def _(t):
-    from quire.session import top_k
     q = t.vectors.select(F.col("id").alias("query_id"), "embedding")
-    hits = vectors._blocks(q, t.vectors.select("id", "embedding"), 10, 0.3, True)
-    return top_k(hits, ["query_id"], [F.desc("score"), F.col("id")], 10, "rank")
+    return vectors.knn(q, t.vectors.select("id", "embedding"), 10, min_score=0.3, no_self=True, block=100)
 
 
 # vectors as chunk vectors: the label names the paper, the document of that number gives the text
@@ -48,6 +46,34 @@ def _(t):
     return out.select("query_id", "paper_id", "score", shown.alias("shown"), "rank")
 
 
+def named_chunks(t):
+    """Chunks under identifiers of the form paper_number."""
+    return t.vectors.select(F.concat_ws("_", "label", "id").alias("chunk_id"), F.col("label").cast("long").alias("paper_id"), F.col("id").alias("chunk_index"),
+                            F.lit("s").alias("section"), F.lit("t").alias("text"), "embedding")
+
+
+CHUNK_PAIRS = """p AS (SELECT a.vec_id AS query_id, b.label || '_' || b.vec_id AS id, b.label, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
+     FROM embeddings a CROSS JOIN embeddings b)"""
+
+
+@query("r08_chunk_knn_named", f"""
+    WITH {CHUNK_PAIRS}, f AS (SELECT * FROM (SELECT *, {TOP} FROM p) WHERE rank <= 12), b AS (SELECT query_id, label AS paper_id, max(score) AS score FROM f GROUP BY 1, 2)
+    SELECT * FROM (SELECT query_id, CAST(paper_id AS BIGINT) AS paper_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, paper_id) AS rank FROM b) WHERE rank <= 4""")
+def _(t):
+    q = t.vectors.select(F.col("id").alias("query_id"), "embedding")
+    return vectors.chunk_knn(q, named_chunks(t), 4).select("query_id", "paper_id", "score", "rank")
+
+
+@query("r10_suggest_citations_chunks", f"""
+    WITH {CHUNK_PAIRS}, f AS (SELECT * FROM (SELECT *, {TOP} FROM p WHERE score >= 0.1) WHERE rank <= 18), b AS (SELECT query_id, label AS id, max(score) AS score FROM f GROUP BY 1, 2),
+    k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM b), j AS (SELECT query_id, id, score, id % 3 = 1 AS preferred FROM k WHERE n <= 6)
+    SELECT * FROM (SELECT query_id, CAST(id AS BIGINT) AS id, score, preferred, row_number() OVER (PARTITION BY query_id ORDER BY preferred DESC, score DESC, id) AS rank FROM j) WHERE rank <= 2""")
+def _(t):
+    types = t.vectors.select(F.col("label").cast("long").alias("paper_id")).distinct().withColumn("paper_type", F.when(F.col("paper_id") % 3 == 1, "review").otherwise("other"))
+    q = t.vectors.select(F.col("id").alias("query_id"), "embedding")
+    return vectors.suggest_citations(q, named_chunks(t), types, ["review"], 2, min_score=0.1).select("query_id", "id", "score", "preferred", "rank")
+
+
 @query("r10_suggest_citations", f"""
     WITH {PAIRS}, h AS (SELECT *, {TOP} FROM p WHERE query_id <> id AND score >= 0.25), f AS (SELECT query_id, id, score FROM h WHERE rank <= 8),
     j AS (SELECT f.*, coalesce(l.quality = 1, FALSE) AS preferred FROM f LEFT JOIN labels l ON l.doc_id = f.id)

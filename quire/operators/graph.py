@@ -70,7 +70,7 @@ def _resolved(links: DataFrame, papers: DataFrame, include_external: bool) -> Da
     lib = papers.select(doi_key("doi").alias("_doi"), F.col("id")).filter("_doi IS NOT NULL")
     lib = lib.groupBy("_doi").agg(F.min("id").alias("library_id"))
     out = links.withColumn("_doi", doi_key("doi")).join(lib, "_doi", "left")
-    external = F.concat(F.lit("ext_"), F.coalesce(F.col("doi"), F.substring("title", 1, 30)))
+    external = F.concat(F.lit("ext_"), F.coalesce(F.col("doi"), F.col("title")))
     out = out.withColumn("node", F.coalesce(F.concat(F.lit("lib_"), F.col("library_id").cast("string")), external))
     return out if include_external else out.filter("library_id IS NOT NULL")
 
@@ -152,20 +152,25 @@ def chain(edges: DataFrame, seeds: DataFrame, *, depth: int = 2, direction: str
     """Papers reached from each seed, one row per (seed, level, paper).
 
     ``edges`` are matched claim links (citing, cited).  Each level is deduplicated before
-    the next hop.  ``visited`` drops papers already reached at an earlier level.
+    the next hop, and cut off from its lineage from the third on.  ``visited`` drops papers
+    already reached at an earlier level.
     """
     src, dst = ("citing", "cited") if direction == "forward" else ("cited", "citing")
     hop = edges.select(F.col(src).alias("from_id"), F.col(dst).alias("to_id")).distinct()
     hop = hop.withColumn("salt", salt_of("to_id"))
     frontier = seeds.select(F.col("id").alias("seed_id"), F.col("id").alias("paper_id"))
     levels, seen = [], frontier
-    for level in range(1, min(depth, 3) + 1):
+    for level in range(1, depth + 1):
         start = repeat_per_salt(frontier.select("seed_id", F.col("paper_id").alias("from_id")))
         reached = start.join(hop, ["from_id", "salt"]).groupBy("seed_id", F.col("to_id").alias("paper_id")).agg(
             F.min("from_id").alias("from_paper_id"))
         if visited:
             reached = reached.join(seen, ["seed_id", "paper_id"], "left_anti")
             seen = seen.unionByName(reached.select("seed_id", "paper_id"))
+        if level >= 3 and level < depth:
+            reached = checkpointed(reached)
+            if reached.isEmpty():
+                break
         levels.append(reached.withColumn("level", F.lit(level)))
         frontier = reached
     return reduce(DataFrame.unionByName, levels)
@@ -188,17 +193,28 @@ def link_claims(claim_rows: DataFrame, refs: DataFrame) -> DataFrame:
         pick("matched_paper_id").alias("matched_paper_ids"), pick("status").alias("match_statuses"))
 
 
-def collection_closure(collections: DataFrame, max_depth: int = 50) -> DataFrame:
-    """Every collection with itself and all collections below it; depth stops cycles."""
-    return collections.sparkSession.sql(
-        f"""WITH RECURSIVE tree(root_id, id, depth) AS (
-              SELECT id, id, 0 FROM {{c}}
-              UNION ALL SELECT t.root_id, k.id, t.depth + 1 FROM tree t JOIN {{c}} k
-                ON k.parent_id = t.id AND k.id <> t.root_id WHERE t.depth < {int(max_depth)})
-            SELECT root_id, id, min(depth) AS depth FROM tree GROUP BY root_id, id""", c=collections)
+def collection_closure(collections: DataFrame) -> DataFrame:
+    """Every collection with itself and all collections below it, at its smallest depth.
 
-
-def clusters(pairs: DataFrame, *, a: str = "id_a", b: str = "id_b", max_rounds: int = 40) -> DataFrame:
+    Each round doubles the depth covered: pairs at exactly the reach so far are continued by
+    all pairs within it, and pairs known already are dropped.  Rounds grow with the logarithm
+    of the depth, no depth or size ends them, and a cycle does.
+    """
+    own = collections.select(F.col("id").alias("root_id"), "id").distinct().withColumn("depth", F.lit(0))
+    step = collections.filter("parent_id IS NOT NULL AND parent_id <> id").select(F.col("parent_id").alias("root_id"), "id").distinct().withColumn("depth", F.lit(1))
+    step = step.join(own.select("root_id"), "root_id", "left_semi")
+    found, reach = checkpointed(own.unionByName(step)), 1
+    while True:
+        far = found.filter(F.col("depth") == reach).select("root_id", F.col("id").alias("mid"), F.col("depth").alias("above"))
+        if far.isEmpty():
+            return found
+        near = found.filter("depth > 0").select(F.col("root_id").alias("mid"), "id", F.col("depth").alias("below"))
+        new = far.join(near, "mid").groupBy("root_id", "id").agg(F.min(F.col("above") + F.col("below")).cast("int").alias("depth"))
+        found = checkpointed(found.unionByName(new.join(found, ["root_id", "id"], "left_anti")))
+        reach *= 2
+
+
+def clusters(pairs: DataFrame, *, a: str = "id_a", b: str = "id_b") -> DataFrame:
     """Connected components of duplicate pairs as (id, cluster_id), the smallest id naming each.
 
     Alternates large-star and small-star steps until no edge changes.  Each step is a
@@ -216,7 +232,7 @@ def clusters(pairs: DataFrame, *, a: str = "id_a", b: str = "id_b", max_rounds:
 
     edges = checkpointed(point_down(pairs, F.col(a), F.col(b)))
     state = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = point_down(with_min(both.filter("v > u"), low), F.col("v"), F.col("m"))
@@ -229,8 +245,6 @@ def clusters(pairs: DataFrame, *, a: str = "id_a", b: str = "id_b", max_rounds:
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
     roots = edges.select(F.col("v").alias("id")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("cluster_id")).unionByName(
         roots.select("id", F.col("id").alias("cluster_id")))

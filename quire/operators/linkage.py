@@ -219,7 +219,7 @@ def match_references(refs: DataFrame, papers: DataFrame, *, t: float = 0.85, k:
     return out.withColumn("match_status", F.when((F.col("rank") == 1) & (F.col("confidence") >= accept), "matched"))
 
 
-def plan_import(attachments: DataFrame, papers: DataFrame, known_hashes: DataFrame, *, max_rounds: int = 60) -> DataFrame:
+def plan_import(attachments: DataFrame, papers: DataFrame, known_hashes: DataFrame) -> DataFrame:
     """One action per attachment, equal to deciding them one after the other by ordinal.
 
     A file is taken when neither its parent nor its hash has been taken by an earlier
@@ -233,18 +233,16 @@ def plan_import(attachments: DataFrame, papers: DataFrame, known_hashes: DataFra
     rows = checkpointed(rows.join(known, "file_hash", "left").withColumn("known", F.coalesce("known", F.lit(False))))
     left = rows.filter("NOT has_file AND NOT known AND file_hash IS NOT NULL").select("ordinal", "parent_key", "file_hash")
     taken = left.limit(0)
-    for _ in range(max_rounds):
+    while True:
         first_p = left.groupBy("parent_key").agg(F.min("ordinal").alias("ordinal"))
         first_h = left.groupBy("file_hash").agg(F.min("ordinal").alias("ordinal"))
         # one row per parent and per hash, so both joins are on unique ordinals
         new = checkpointed(first_p.join(first_h, "ordinal"))
         if new.isEmpty():
             break
-        taken = taken.unionByName(new)
+        taken = checkpointed(taken.unionByName(new))
         left = checkpointed(left.join(new.select("parent_key"), "parent_key", "left_anti").join(
             new.select("file_hash"), "file_hash", "left_anti"))
-    else:
-        raise RuntimeError("import plan did not settle; raise max_rounds")
     by_parent = taken.select("parent_key", F.col("ordinal").alias("parent_taken"))
     by_hash = repeat_per_salt(taken.select("file_hash", F.col("ordinal").alias("hash_taken")))
     out = rows.withColumn("salt", salt_of("ordinal")).join(by_hash, ["file_hash", "salt"], "left").drop("salt")

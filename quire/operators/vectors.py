@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from typing import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -11,11 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from quire.operators.ranking import collapse_chunks
 from quire.session import top_k
 
-#: Rows of one matrix block, and the largest query side that may travel with the tasks.
+#: Rows of one matrix block.
 BLOCK = 4096
-PIVOTS = 64
-
-_OUT = "query_id long, id long, score double"
 
 
 def _unit(rows) -> np.ndarray:
@@ -38,83 +33,28 @@ def _best(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int
     return pd.DataFrame({"query_id": qid[r], "id": vid[take[r, c]], "score": score[r, c]})
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, *, min_score: float | None = None, no_self: bool = False) -> DataFrame:
+def knn(queries: DataFrame, vectors: DataFrame, k: int, *, min_score: float | None = None, no_self: bool = False, block: int = BLOCK) -> DataFrame:
     """The k most similar vectors of every query (query_id, embedding) -> id, score, rank.
 
-    A query side of one block (its count is checked) travels with the tasks and the vectors
-    are scanned once without a shuffle.  Larger sides meet block against block.  With a
-    positive ``min_score`` the blocks follow cells around pivots and a query visits only
-    the cells its score bound can reach, which keeps the result exact.
-    Metadata filters and id lists are filters or semi joins on ``vectors`` beforehand.
+    Exact.  Queries and vectors are dealt into blocks of about ``block`` rows by a hash of
+    their id, and every query block meets every vector block as one matrix product that
+    keeps k hits per query.  The grid follows the two counts, at every size; ids keep
+    their type.  Metadata filters and id lists are filters or semi joins on ``vectors``.
     """
-    count = queries.limit(BLOCK + 1).count()
-    hits = _scan(queries, vectors, k, min_score, no_self) if count <= BLOCK else _blocks(queries, vectors, k, min_score, no_self)
-    return top_k(hits, ["query_id"], [F.desc("score"), F.col("id")], k, "rank")
-
-
-def _scan(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None, no_self: bool) -> DataFrame:
-    rows = queries.select(F.col("query_id").cast("long"), "embedding").toPandas()  # at most BLOCK rows
-    sc = queries.sparkSession.sparkContext
-    shared = sc.broadcast((rows["query_id"].to_numpy(), _unit(rows["embedding"]) if len(rows) else np.zeros((0, 1))))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qid, q = shared.value
-        for b in batches:
-            if len(b) and len(qid):
-                yield _best(qid, q, b["id"].to_numpy(), _unit(b["embedding"]), k, floor, no_self)
-
-    return vectors.select(F.col("id").cast("long"), "embedding").mapInPandas(run, _OUT)
-
-
-def _pivots(vectors: DataFrame, n: int) -> np.ndarray:
-    """A bounded set of vectors with distinct hash order, the cell centres."""
-    rows = vectors.select("embedding").orderBy(F.xxhash64("id")).limit(n).toPandas()
-    return _unit(rows["embedding"])
-
-
-def _blocks(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None, no_self: bool) -> DataFrame:
-    pivots = _pivots(vectors, PIVOTS if floor is not None and floor > 0 else 1)
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                sims = _unit(b["embedding"]) @ pivots.T
-                cell = sims.argmax(axis=1)
-                angle = np.arccos(np.clip(sims[np.arange(len(b)), cell], -1, 1))
-                yield pd.DataFrame({"id": b["id"], "embedding": b["embedding"], "cell": cell.astype("int32"), "angle": angle})
-
-    kind = dict(vectors.dtypes)["embedding"]
-    placed = vectors.select(F.col("id").cast("long"), "embedding").mapInPandas(assign, f"id long, embedding {kind}, cell int, angle double")
-    cells = {r.cell: (r.n, r.a) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("a")).collect()}
-    reach = np.pi if floor is None or floor <= 0 else float(np.arccos(min(floor, 1.0)))
-
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            angle = np.arccos(np.clip(_unit(b["embedding"]) @ pivots.T, -1, 1))
-            for c, (_, radius) in cells.items():
-                near = angle[:, c] - radius <= reach + 1e-6
-                if near.any():
-                    yield pd.DataFrame({"query_id": b["query_id"][near], "embedding": b["embedding"][near], "cell": np.int32(c)})
-
-    qkind = dict(queries.dtypes)["embedding"]
-    visits = queries.select(F.col("query_id").cast("long"), "embedding").mapInPandas(visit, f"query_id long, embedding {qkind}, cell int")
-    wanted = {r.cell: r.n for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    # both sides of every (cell, vector part, query part) group stay within about one block
-    per_cell = lambda sizes: F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, max(1, -(-n // BLOCK)))])
-    vparts, qparts = per_cell({c: n for c, (n, _) in cells.items()}), per_cell(wanted or {-1: 1})
-    nv, nq = F.coalesce(vparts[F.col("cell")], F.lit(1)), F.coalesce(qparts[F.col("cell")], F.lit(1))
-    v = placed.drop("angle").withColumn("vp", F.pmod(F.xxhash64("id"), nv).cast("int")).withColumn("qp", F.explode(F.sequence(F.lit(0), nq - 1)))
-    q = visits.withColumn("qp", F.pmod(F.xxhash64("query_id"), nq).cast("int")).withColumn("vp", F.explode(F.sequence(F.lit(0), nv - 1)))
+    nq, nv = (max(1, -(-df.count() // block)) for df in (queries, vectors))
+    kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["id"]
+    part = lambda id_, n: F.pmod(F.xxhash64(id_), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select("query_id", "embedding", part("query_id", nq).alias("qp")).withColumn("vp", every(nv))
+    v = vectors.select("id", "embedding", part("id", nv).alias("vp")).withColumn("qp", every(nq))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        return _best(left["query_id"].to_numpy(), _unit(left["embedding"]), right["id"].to_numpy(), _unit(right["embedding"]), k, floor, no_self)
+            return pd.DataFrame({"query_id": left["query_id"][:0], "id": right["id"][:0], "score": np.zeros(0)})
+        return _best(left["query_id"].to_numpy(), _unit(left["embedding"]), right["id"].to_numpy(), _unit(right["embedding"]), k, min_score, no_self)
 
-    keys = ["cell", "vp", "qp"]
-    return q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInPandas(meet, _OUT)
+    hits = q.groupBy("qp", "vp").cogroup(v.groupBy("qp", "vp")).applyInPandas(meet, f"query_id {kinds[0]}, id {kinds[1]}, score double")
+    return top_k(hits, ["query_id"], [F.desc("score"), F.col("id")], k, "rank")
 
 
 def chunk_knn(queries: DataFrame, chunks: DataFrame, k: int, *, min_score: float | None = None) -> DataFrame:
@@ -140,7 +80,8 @@ def prefer_types(hits: DataFrame, contents: DataFrame, prefer: list[str], k: int
     return top_k(out, ["query_id"], [F.desc("preferred"), F.desc("score"), F.col("id")], k, "rank")
 
 
-def suggest_citations(queries: DataFrame, vectors: DataFrame, contents: DataFrame, prefer: list[str], k: int, *,
+def suggest_citations(queries: DataFrame, chunks: DataFrame, contents: DataFrame, prefer: list[str], k: int, *,
                       min_score: float = 0.4) -> DataFrame:
-    """Similar papers for a text, preferred types first."""
-    return prefer_types(knn(queries, vectors, k, min_score=min_score).drop("rank"), contents, prefer, k)
+    """Papers to cite for a text, found over chunks: three times ``k`` papers are fetched before preferred types move up."""
+    hits = chunk_knn(queries, chunks, 3 * k, min_score=min_score).withColumnRenamed("paper_id", "id").drop("rank")
+    return prefer_types(hits, contents, prefer, k)

@@ -23,15 +23,16 @@ def apply_batch(root: str, changes: DataFrame, batch_id: int, weights: dict[str,
     last = latest(changes)
     postings = build_index(last.filter("op <> 'delete'"), weights).postings
     postings.write.mode("overwrite").parquet(f"{root}/postings/batch={batch_id}")
-    last.select(F.col("id").alias("doc_id")).write.mode("overwrite").parquet(f"{root}/changed/batch={batch_id}")
+    last.select(F.col("id").alias("doc_id"), "version").write.mode("overwrite").parquet(f"{root}/changed/batch={batch_id}")
 
 
 def read_postings(spark: SparkSession, root: str) -> DataFrame:
-    """Current postings: those written by the last batch that changed their document.
+    """Current postings: those of the highest version of their document, of equal versions the last batch.
 
-    Document frequencies are counted from these, never incremented.
+    A change that arrives late, behind a newer version of its document, changes nothing.  Document frequencies are counted from these, never incremented.
     """
-    last = spark.read.parquet(f"{root}/changed").groupBy("doc_id").agg(F.max("batch").alias("batch"))
+    last = spark.read.parquet(f"{root}/changed").groupBy("doc_id").agg(F.max(F.struct("version", "batch")).alias("top"))
+    last = last.select("doc_id", F.col("top.batch").alias("batch"))
     return spark.read.parquet(f"{root}/postings").join(last, ["doc_id", "batch"]).drop("batch")
 
 
@@ -39,7 +40,8 @@ def compact(spark: SparkSession, root: str, target: str) -> None:
     """Current postings as the first batch of a new folder."""
     rows = read_postings(spark, root)
     rows.write.mode("overwrite").parquet(f"{target}/postings/batch=-1")
-    rows.select("doc_id").distinct().write.mode("overwrite").parquet(f"{target}/changed/batch=-1")
+    kept = spark.read.parquet(f"{root}/changed").groupBy("doc_id").agg(F.max("version").alias("version"))  # deletions too: late changes must not undo them
+    kept.write.mode("overwrite").parquet(f"{target}/changed/batch=-1")
 
 
 def run(changes: DataFrame, root: str, checkpoint: str, weights: dict[str, float], trigger: dict | None = None,

@@ -44,17 +44,20 @@ class StatusMachine(StatefulProcessor):
         self.state = handle.getValueState("status", "status string, due long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("ts", kind="stable")
-        status = self.state.get()[0] if self.state.exists() else None
-        status, moves = walk(status, batch)
+        """Arrow batches are walked one after the other, each in time order; only the status is held between them."""
+        status, last = self.state.get()[0] if self.state.exists() else None, None
+        for batch in rows:
+            batch = batch.sort_values("ts", kind="stable")
+            status, moves = walk(status, batch)
+            last = batch["ts"].iloc[-1] if last is None else max(last, batch["ts"].iloc[-1])
+            yield pd.DataFrame([(key[0], *m) for m in moves], columns=["id", "ts", "old_status", "new_status", "outcome"])
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        due = int(pd.Timestamp(batch["ts"].iloc[-1]).timestamp() * 1000) + self.stuck_ms
-        if status is not None:
+        if status is not None and last is not None:
+            due = int(pd.Timestamp(last).timestamp() * 1000) + self.stuck_ms
             self.state.update((status, due))
             if status not in ("complete", "failed"):
                 self.handle.registerTimer(due)
-        yield pd.DataFrame([(key[0], *m) for m in moves], columns=["id", "ts", "old_status", "new_status", "outcome"])
 
     def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
         status = self.state.get()[0]
