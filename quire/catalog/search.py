@@ -109,12 +109,13 @@ def _(t):
     return operator_queries(t).select("query_id", retrieval.query_mode("query").alias("mode"))
 
 
-@query("r04_boolean_match", f"""WITH {TOK}, {BOOL}, joined AS (SELECT doc_id, field, ' ' || array_to_string(toks, ' ') || ' ' AS s FROM ft),
-    hit AS (SELECT b.query_id, p.doc_id, count(*) AS c, any_value(b.mode) AS mode, any_value(len(list_distinct(b.want))) AS n FROM bq b JOIN post p ON list_contains(b.want, p.term)
-            WHERE b.mode <> 'phrase' GROUP BY 1, 2),
+@query("r04_boolean_match", f"""WITH {TOK}, {BOOL}, want AS (SELECT query_id, mode, len(list_distinct(want)) AS n, unnest(list_distinct(want)) AS term FROM bq WHERE mode <> 'phrase'),
+    hit AS (SELECT query_id, doc_id, any_value(mode) AS mode, any_value(n) AS n, count(*) AS c FROM want JOIN post USING (term) GROUP BY 1, 2),
+    pairs AS (SELECT DISTINCT doc_id, unnest(toks[1:len(toks) - 1]) AS a, unnest(toks[2:len(toks)]) AS b FROM ft WHERE len(toks) > 1),
     ok AS (SELECT query_id, doc_id FROM hit WHERE mode = 'any' OR c = n
-           UNION SELECT DISTINCT b.query_id, j.doc_id FROM bq b JOIN joined j ON b.mode = 'phrase' AND contains(j.s, ' ' || array_to_string(b.want, ' ') || ' '))
-    SELECT query_id, doc_id FROM ok WHERE NOT EXISTS (SELECT 1 FROM bq b JOIN post p ON p.term = b.ban WHERE b.query_id = ok.query_id AND p.doc_id = ok.doc_id)""", "docs")
+           UNION SELECT query_id, doc_id FROM bq JOIN pairs ON mode = 'phrase' AND a = want[1] AND b = want[2]),
+    banned AS (SELECT query_id, doc_id FROM bq JOIN post ON term = ban)
+    SELECT query_id, doc_id FROM ok ANTI JOIN banned USING (query_id, doc_id)""", "docs")
 def _(t):
     q = operator_queries(t)
     return retrieval.boolean_match(q, index(t, q))

@@ -7,6 +7,7 @@ with the number of different words.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F, types as T
@@ -94,6 +95,11 @@ def porter(word: str) -> str:
     return word
 
 
+def folded(word: str) -> str:
+    """A word without diacritics."""
+    return re.sub(r"[̀-ͯ]", "", unicodedata.normalize("NFKD", word))
+
+
 @F.pandas_udf(T.StringType())
 def stem(words: pd.Series) -> pd.Series:
     return words.map(porter)

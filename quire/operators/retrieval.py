@@ -42,15 +42,15 @@ def bm25(queries: DataFrame, index: TextIndex, *, docs: DataFrame | None = None,
     n, avgdl = index.size(), index.mean_length()
     terms = query_terms(queries, index).select("query_id", "term").distinct().join(index.terms, "term")
     idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(MIN_IDF))
-    terms = terms.select("query_id", "term", idf.alias("idf"))
-    rows = index.postings.select("term", "doc_id", "dl", "f")
+    terms = index.keyed(terms.select("query_id", "term", idf.alias("idf")))
+    rows = index.postings.select(*index.on, "doc_id", "dl", "f")
     inside = _in_years(docs, year_min, year_max) if docs is not None else None
     if inside is not None:
         rows = rows.join(inside, "doc_id", "left_semi")
     if pairs is not None:
-        hit = pairs.select("query_id", "doc_id").join(terms, "query_id").join(rows, ["term", "doc_id"])
+        hit = pairs.select("query_id", "doc_id").join(terms, "query_id").join(rows, [*index.on, "doc_id"])
     else:
-        hit = rows.withColumn("salt", salt_of("doc_id")).join(repeat_per_salt(terms), ["term", "salt"])
+        hit = rows.withColumn("salt", salt_of("doc_id")).join(repeat_per_salt(terms), [*index.on, "salt"])
     part = F.col("idf") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / avgdl))
     scored = hit.groupBy("query_id", "doc_id").agg(F.sum(part).alias("raw"))
     scored = scored.select("query_id", "doc_id", F.round("raw", 6).alias("score"))
@@ -67,19 +67,19 @@ def _all_of(terms: DataFrame, index: TextIndex) -> DataFrame:
     per = known.groupBy("query_id").agg(
         F.count("*").alias("n"), F.min(F.struct("df", "term")).alias("anchor"), F.bool_and(F.col("df").isNotNull()).alias("possible"))
     per = per.filter("possible")
-    anchors = repeat_per_salt(per.select("query_id", "n", F.col("anchor.term").alias("term")))
-    rows = index.postings.select("term", "doc_id", salt_of("doc_id").alias("salt"))
-    cand = rows.join(anchors, ["term", "salt"]).select("query_id", "n", "doc_id")
-    want = cand.join(terms, "query_id")
-    got = want.join(index.postings.select("term", "doc_id", "hits"), ["term", "doc_id"])
+    anchors = repeat_per_salt(index.keyed(per.select("query_id", "n", F.col("anchor.term").alias("term"))))
+    rows = index.postings.select(*index.on, "doc_id", salt_of("doc_id").alias("salt"))
+    cand = rows.join(anchors, [*index.on, "salt"]).select("query_id", "n", "doc_id", "salt")
+    want = cand.join(repeat_per_salt(index.keyed(terms)), ["query_id", "salt"])  # a query may have many candidates
+    got = want.join(index.postings.select(*index.on, "doc_id", "hits"), [*index.on, "doc_id"])
     return got.select("query_id", "doc_id", "n", "offset", "term", "hits")
 
 
 def any_terms(queries: DataFrame, index: TextIndex) -> DataFrame:
     """Documents holding at least one query term, with the number of terms they hold."""
-    terms = repeat_per_salt(query_terms(queries, index).select("query_id", "term").distinct())
-    rows = index.postings.select("term", "doc_id", salt_of("doc_id").alias("salt"))
-    return rows.join(terms, ["term", "salt"]).groupBy("query_id", "doc_id").agg(F.count("*").alias("matched_terms"))
+    terms = repeat_per_salt(index.keyed(query_terms(queries, index).select("query_id", "term").distinct()))
+    rows = index.postings.select(*index.on, "doc_id", salt_of("doc_id").alias("salt"))
+    return rows.join(terms, [*index.on, "salt"]).groupBy("query_id", "doc_id").agg(F.count("*").alias("matched_terms"))
 
 
 def all_terms(queries: DataFrame, index: TextIndex) -> DataFrame:

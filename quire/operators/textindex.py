@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quire.functions.stemming import fold, stem
+from quire.functions.stemming import fold, folded, porter, stem
 from quire.functions.text import tokens
 from quire.session import shared_folder, spread
 
@@ -19,12 +23,14 @@ WEIGHTS = {"title": 10.0, "abstract": 5.0}
 class TextIndex:
     """``postings``: term, doc_id, dl, f (weighted frequency), tf, hits (field, pos).
     ``docs``: doc_id, dl for every indexed document.  ``terms``: term, df.
-    ``stemmed``: query terms go through the same folding and stemming."""
+    ``stemmed``: query terms go through the same folding and stemming.
+    ``buckets``: a stored index is partitioned by this many hash buckets of the term."""
 
     postings: DataFrame
     docs: DataFrame
     terms: DataFrame
     stemmed: bool = False
+    buckets: int | None = None
 
     def size(self) -> Column:
         return self.docs.agg(F.count("*").alias("n")).scalar()
@@ -32,6 +38,19 @@ class TextIndex:
     def mean_length(self) -> Column:
         return self.docs.agg(F.avg("dl").alias("a")).scalar()
 
+    @property
+    def on(self) -> list[str]:
+        """Join columns of the postings; the bucket lets a scan skip the partitions no wanted term is in."""
+        return ["term"] if self.buckets is None else ["bucket", "term"]
+
+    def keyed(self, terms: DataFrame) -> DataFrame:
+        """A table of terms with the join columns of the postings."""
+        return terms if self.buckets is None else terms.withColumn("bucket", bucket_of(self.buckets))
+
+
+def bucket_of(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+
 
 def tokenised(docs: DataFrame, weights: dict[str, float] = WEIGHTS, key: str = "id") -> DataFrame:
     """Tokens of each document and field: doc_id, field, weight, tokens, dl (tokens over all fields)."""
@@ -42,29 +61,57 @@ def tokenised(docs: DataFrame, weights: dict[str, float] = WEIGHTS, key: str = "
 
 
 def normalise_terms(rows: DataFrame, column: str = "term") -> DataFrame:
-    """Fold diacritics and stem; the Python work is done once per distinct word."""
-    words = rows.select(column).distinct().withColumn("_norm", stem(fold(column)))
-    return rows.join(words, column).drop(column).withColumnRenamed("_norm", column)
+    """Fold diacritics and stem."""
+    return rows.withColumn(column, stem(fold(column)))
+
+
+def _count_terms(batch: pa.RecordBatch, weights: dict[str, float], stemmed: bool) -> pa.RecordBatch:
+    """Postings of a batch of documents: each row's tokens sorted by term, one posting per term."""
+    terms, row, pos, field = [], [], [], []
+    for k in range(len(weights)):
+        lists = batch.column(f"tokens_{k}")
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        terms.append(lists.flatten())
+        row.append(np.repeat(np.arange(len(sizes)), sizes))
+        pos.append(np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes))
+        field.append(np.full(sizes.sum(), k))
+    row, pos, field = map(np.concatenate, (row, pos, field))
+    coded = pa.chunked_array(terms, pa.string()).combine_chunks().dictionary_encode()
+    words, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    if stemmed:  # once per distinct word of the batch
+        again = pa.array([porter(folded(w)) for w in words.to_pylist()], pa.string()).dictionary_encode()
+        words, code = again.dictionary, again.indices.to_numpy(zero_copy_only=False).astype(np.int64)[code]
+    order = np.lexsort((pos, field, code, row))
+    row, pos, field, code = (x[order] for x in (row, pos, field, code))
+    first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])))) if len(row) else np.zeros(0, np.int64)
+    ends = np.append(first, len(row)).astype(np.int32)
+    weight = np.array(list(weights.values()), float)[field]
+    names = pa.array(list(weights), pa.string()).take(pa.array(field))
+    hits = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([names, pa.array(pos.astype(np.int32))], ["field", "pos"]))
+    total = np.add.reduceat(weight, first) if len(first) else np.zeros(0)
+    owner = pa.array(row[first])
+    return pa.RecordBatch.from_arrays([words.take(pa.array(code[first])), batch.column("doc_id").take(owner), batch.column("dl").take(owner), pa.array(total),
+                                       pa.array(np.diff(ends).astype(np.int64)), hits], ["term", "doc_id", "dl", "f", "tf", "hits"])
 
 
 def build_index(docs: DataFrame, weights: dict[str, float] = WEIGHTS, *, key: str = "id", stemmed: bool = False,
                 only: DataFrame | None = None) -> TextIndex:
     """R01.  ``only`` (a ``term`` table) restricts the postings to the terms a query batch needs.
 
-    Postings are grouped by (term, document) with partial aggregation, so a common term is
-    spread over all documents' groups and never gathered.
+    A document is one row, so its terms are counted where it is read and no token is
+    shuffled; only the document frequencies are grouped, with partial sums.
     """
-    rows = tokenised(docs, weights, key)
-    lengths = rows.groupBy("doc_id").agg(F.first("dl").alias("dl")) if len(weights) > 1 else rows.select("doc_id", "dl")
-    flat = rows.select("doc_id", "dl", "field", "weight", F.posexplode("tokens").alias("pos", "term"))
-    if stemmed:
-        flat = normalise_terms(flat)
+    rows = spread(docs.select(key, *weights), key)
+    rows = rows.select(F.col(key).alias("doc_id"), *[tokens(f).alias(f"tokens_{k}") for k, f in enumerate(weights)])
+    sizes = [F.size(f"tokens_{k}") for k in range(len(weights))]
+    rows = rows.withColumn("dl", reduce(lambda a, b: a + b, sizes))
+    kind = dict(rows.dtypes)["doc_id"]
+    postings = rows.mapInArrow(lambda batches: (_count_terms(b, weights, stemmed) for b in batches),
+                               f"term string, doc_id {kind}, dl int, f double, tf bigint, hits array<struct<field:string,pos:int>>")
     if only is not None:
-        flat = flat.join(only.select("term").distinct(), "term", "left_semi")
-    postings = flat.groupBy("term", "doc_id", "dl").agg(
-        F.sum("weight").alias("f"), F.count("*").alias("tf"), F.collect_list(F.struct("field", "pos")).alias("hits"))
+        postings = postings.join(only.select("term").distinct(), "term", "left_semi")
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    return TextIndex(postings, lengths, terms, stemmed)
+    return TextIndex(postings, rows.select("doc_id", "dl"), terms, stemmed)
 
 
 def query_terms(queries: DataFrame, index: TextIndex | None = None) -> DataFrame:
@@ -75,17 +122,17 @@ def query_terms(queries: DataFrame, index: TextIndex | None = None) -> DataFrame
 
 def save_index(index: TextIndex, path: str, buckets: int = 64) -> None:
     """Persist the index; postings are laid out by a hash bucket of the term and sorted inside."""
-    b = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    postings = index.postings.withColumn("bucket", b).repartition(buckets, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8)))
+    postings = index.postings.withColumn("bucket", bucket_of(buckets)).repartition(buckets, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8)))
     postings.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
     written = index.postings.sparkSession.read.parquet(f"{path}/postings")
     written.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
 
 
-def load_index(spark: SparkSession, path: str, stemmed: bool = False) -> TextIndex:
+def load_index(spark: SparkSession, path: str, stemmed: bool = False, buckets: int = 64) -> TextIndex:
+    """A saved index; ``buckets`` as it was saved."""
     read = spark.read.parquet
-    return TextIndex(read(f"{path}/postings").drop("bucket"), read(f"{path}/docs"), read(f"{path}/terms"), stemmed)
+    return TextIndex(read(f"{path}/postings"), read(f"{path}/docs"), read(f"{path}/terms"), stemmed, buckets)
 
 
 def stored(index: TextIndex) -> TextIndex:
@@ -93,7 +140,7 @@ def stored(index: TextIndex) -> TextIndex:
     spark = index.postings.sparkSession
     path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
     save_index(index, path, buckets=8)
-    return load_index(spark, path, index.stemmed)
+    return load_index(spark, path, index.stemmed, 8)
 
 
 def index_status(docs: DataFrame, index_docs: DataFrame) -> DataFrame:

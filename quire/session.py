@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -34,10 +37,17 @@ def build_session(cpus: int | str = 8, app: str = "quire") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors can reach: ``spark.checkpoint.dir``, or a temporary one where the session names none (tests)."""
+    """Folder all executors can reach: ``spark.checkpoint.dir``, else one beside the warehouse.
+
+    Only a session in one process, as in tests, gets a temporary folder, which goes with it.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = tempfile.mkdtemp(prefix="quire-shared-")
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            folder = tempfile.mkdtemp(prefix="quire-shared-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        else:
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quire-shared"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
