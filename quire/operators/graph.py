@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quire.functions.text import doi_key, shorten
 from quire.session import SALTS, checkpointed, repeat_per_salt, salt_of, top_k
@@ -32,30 +32,33 @@ def citations(edges: DataFrame, ids: DataFrame, direction: str = "both") -> Data
 def common_references(refs: DataFrame, min_shared: int = 2, examples: int = 5) -> DataFrame:
     """All pairs of papers sharing at least ``min_shared`` distinct reference DOIs.
 
-    Two papers that share m references still share one after each drops its m-1 most
-    cited ones (references ordered rare first, prefix lemma).  Pairs are therefore built
-    from the rarer references only, so a work cited by everybody builds no pairs by
-    itself, and every candidate is then counted on its full reference set.
+    Pairs are counted, in partial sums, over the works that both cite; a work with many
+    citations is met in parts of about a thousand papers.  Two papers that share m works
+    still share one after each drops its m - 1 most cited ones (prefix lemma), so pairs are
+    listed from those only and the dropped works are looked up for listed pairs.  The first
+    examples are attached to reported pairs alone.
     """
     distinct = refs.select("paper_id", doi_key("parsed_doi").alias("doi")).filter("doi IS NOT NULL").distinct()
     fame = distinct.groupBy("doi").agg(F.count("*").alias("cited_by")).filter("cited_by > 1")
-    rows = distinct.join(fame, "doi")
-    sets = rows.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("cited_by", "doi"))).alias("ordered"))
-    sets = sets.filter(F.size("ordered") >= min_shared).select(
-        "paper_id", "ordered", F.transform("ordered", lambda s: s["doi"]).alias("dois"))
-    keep = F.slice("ordered", 1, F.size("ordered") - (min_shared - 1))
-    index = sets.select("paper_id", F.inline(keep))
-    # a work with many citations is met in parts of about a thousand papers
+    place = F.row_number().over(Window.partitionBy("paper_id").orderBy(F.desc("cited_by"), F.desc("doi")))
+    rows = distinct.join(fame, "doi").withColumn("common", place < min_shared)
     parts = F.ceil(F.col("cited_by") / 1000).cast("int")
-    left = index.select(F.col("paper_id").alias("paper_a"), "doi", F.pmod(F.xxhash64("paper_id"), parts).cast("int").alias("salt"))
-    right = index.select(F.col("paper_id").alias("paper_b"), "doi", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
-    pairs = left.join(right, ["doi", "salt"]).filter("paper_a < paper_b").select("paper_a", "paper_b").distinct()
-    side = lambda s: sets.select(F.col("paper_id").alias(f"paper_{s}"), F.col("dois").alias(f"dois_{s}"))
-    full = pairs.join(side("a"), "paper_a").join(side("b"), "paper_b")
-    shared = F.array_sort(F.array_intersect("dois_a", "dois_b"))
-    full = full.select("paper_a", "paper_b", shared.alias("shared")).filter(F.size("shared") >= min_shared)
-    return full.select("paper_a", "paper_b", F.size("shared").alias("shared_references"),
-                       F.slice("shared", 1, examples).alias("shared_dois"))
+    side = lambda r, s: r.select(F.col("paper_id").alias(f"paper_{s}"), "doi", "cited_by", F.col("common").alias(f"common_{s}"))
+    left = side(rows.filter("NOT common"), "a").withColumn("salt", F.pmod(F.xxhash64("paper_a"), parts).cast("int"))
+    right = side(rows.filter("NOT common"), "b").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("cited_by")
+    met = left.join(right, ["doi", "salt"]).filter("paper_a < paper_b").groupBy("paper_a", "paper_b").agg(F.count("*").alias("n"))
+    # works that one side dropped: at most m - 1 of each paper, looked up by (paper, work)
+    held = rows.select(F.col("paper_id").alias("other"), "doi", F.col("common").alias("also"))
+    extra = lambda s, o: (met.join(side(rows.filter("common"), s), f"paper_{s}").select("paper_a", "paper_b", "doi", F.col(f"paper_{o}").alias("other"))
+                          .join(held, ["other", "doi"]))
+    more = extra("a", "b").select("paper_a", "paper_b", "doi").unionByName(extra("b", "a").filter("NOT also").select("paper_a", "paper_b", "doi"))
+    more = more.groupBy("paper_a", "paper_b").agg(F.count("*").alias("more"))
+    full = met.join(more, ["paper_a", "paper_b"], "left").select("paper_a", "paper_b", (F.col("n") + F.coalesce("more", F.lit(0))).cast("int").alias("shared_references"))
+    full = full.filter(F.col("shared_references") >= min_shared)
+    sets = distinct.join(fame, "doi").groupBy("paper_id").agg(F.array_sort(F.collect_list("doi")).alias("dois"))
+    own = lambda s: sets.select(F.col("paper_id").alias(f"paper_{s}"), F.col("dois").alias(f"dois_{s}"))
+    full = full.join(own("a"), "paper_a").join(own("b"), "paper_b")
+    return full.select("paper_a", "paper_b", "shared_references", F.slice(F.array_sort(F.array_intersect("dois_a", "dois_b")), 1, examples).alias("shared_dois"))
 
 
 def related_papers(pairs: DataFrame, k: int | None = None) -> DataFrame:

@@ -32,8 +32,8 @@ def list_papers(papers: DataFrame, *, author: str | None = None, tag: str | None
 def papers_by_author(papers: DataFrame, paper_authors: DataFrame, authors: DataFrame, names: DataFrame,
                      k: int | None = None) -> DataFrame:
     """F02 for a table of ``name`` searches: papers of every author whose name contains it."""
-    hit = authors.select(F.col("id").alias("author_id"), F.col("name").alias("author"))
-    hit = hit.join(names, F.contains(F.lower("author"), F.lower("name")))
+    hit = authors.select(F.col("id").alias("author_id"), F.col("name").alias("author"), F.lower("name").alias("_text"))
+    hit = substring_join(hit, names.withColumn("_query", F.lower("name")), "author_id").drop("_text", "_query")
     ids = paper_authors.join(hit, "author_id").select("name", "paper_id").distinct()
     out = ids.join(papers, F.col("paper_id") == papers.id).drop("paper_id")
     return out if k is None else top_k(out, ["name"], [F.desc_nulls_last("year"), F.col("id")], k, "rank")
@@ -42,8 +42,11 @@ def papers_by_author(papers: DataFrame, paper_authors: DataFrame, authors: DataF
 def papers_by_tag(papers: DataFrame, paper_tags: DataFrame, tags: DataFrame, *, exact: bool = True,
                   k: int | None = None) -> DataFrame:
     """F03 for a table of ``wanted`` tags, equal or contained."""
-    on = F.col("tag") == F.col("wanted") if exact else F.contains(F.lower("tag"), F.lower("wanted"))
-    names = paper_tags.select("tag").distinct().join(tags, on)
+    known = paper_tags.select("tag").distinct()
+    if exact:
+        names = known.join(tags, F.col("tag") == F.col("wanted"))
+    else:
+        names = substring_join(known.withColumn("_text", F.lower("tag")), tags.withColumn("_query", F.lower("wanted")), "tag").drop("_text", "_query")
     ids = paper_tags.join(names, "tag").select("wanted", "paper_id").distinct()
     out = ids.join(papers, F.col("paper_id") == papers.id).drop("paper_id")
     return out if k is None else top_k(out, ["wanted"], [F.desc_nulls_last("year"), F.col("id")], k, "rank")
@@ -56,12 +59,34 @@ def lookup(papers: DataFrame, wanted: DataFrame, key: str = "doi") -> DataFrame:
     return out.withColumn("error", F.when(F.col("paper_id").isNull(), F.lit("Paper not found")))
 
 
+def substring_join(rows: DataFrame, queries: DataFrame, key: str = "id") -> DataFrame:
+    """Rows whose ``_text`` contains the ``_query`` of a row of ``queries``, anywhere and of any length.
+
+    A query is looked up under its rarest run of three characters (all of it where shorter)
+    among the runs that the texts hold; only texts with that run are searched.
+    """
+    def runs(c, n):  # distinct runs of n characters
+        return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))))
+
+    none = F.array().cast("array<string>")
+    ask = queries.select("_query").distinct()
+    own = F.coalesce(*[runs("_query", n) for n in (3, 2, 1)], F.array(F.lit("")))
+    ask = ask.select("_query", F.explode(own).alias("_run"))
+    every = F.concat(F.array(F.lit("")), *[F.coalesce(runs("_text", n), none) for n in (1, 2, 3)])
+    held = rows.filter("_text IS NOT NULL").select(key, F.explode(every).alias("_run")).join(ask.select("_run").distinct(), "_run", "left_semi").distinct()
+    rare = held.groupBy("_run").agg(F.count("*").alias("n"))
+    pick = ask.join(rare, "_run").groupBy("_query").agg(F.min(F.struct("n", "_run")).alias("m")).select("_query", F.col("m._run").alias("_run"))
+    cand = held.withColumn("salt", salt_of(key)).join(repeat_per_salt(pick), ["_run", "salt"]).select(key, "_query")
+    hit = cand.join(rows, key).filter(F.contains("_text", F.col("_query")))
+    return hit.join(queries, "_query").select(*rows.columns, *queries.columns)
+
+
 def contains_join(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose ``_text`` contains the ``_query`` of a row of ``queries``.
 
     A query of three tokens or more pins its inner tokens to whole tokens of the text, so
     its longest inner token is an equality key and only texts with that token are searched.
-    Shorter queries have no such key; they are compared with every text.
+    Shorter queries have no such token and are looked up by their characters.
     """
     inner = tokens("_query")
     q = queries.withColumn("_inner", F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0))))
@@ -72,7 +97,7 @@ def contains_join(docs: DataFrame, queries: DataFrame) -> DataFrame:
     cand = places.withColumn("salt", salt_of("id")).join(repeat_per_salt(keyed.select("query_id", "_query", "_key")), ["_key", "salt"])
     cand = cand.select("id", "query_id", "_query").join(docs, "id").filter(F.contains("_text", F.col("_query")))
     cand = cand.drop("_query").join(queries, "query_id")
-    short = docs.join(q.filter(F.size("_inner") == 0).drop("_inner"), F.contains("_text", F.col("_query")))
+    short = substring_join(docs, q.filter(F.size("_inner") == 0).drop("_inner"))
     return cand.select(*docs.columns, *queries.columns).unionByName(short.select(*docs.columns, *queries.columns))
 
 
