@@ -120,8 +120,9 @@ def harvest_plan(source_refs: DataFrame, papers: DataFrame, edges: DataFrame, *,
     rows = rows.withColumn("_doi", doi_key("doi")).join(lib, "_doi", "left")
     have = rows.filter("library_id IS NOT NULL").withColumn("action", F.lit("in_library"))
     miss = rows.filter("library_id IS NULL AND _doi IS NOT NULL")
-    miss = top_k(miss, ["paper_id"], [F.col("ordinal")], None, "_n").withColumn(
-        "action", F.when(F.col("_n") <= max_imports, "import").otherwise("over_quota")).drop("_n")
+    # the rank ends at the quota, so a task never orders all that a paper misses
+    quota = top_k(miss.select("paper_id", "ordinal").distinct(), ["paper_id"], [F.col("ordinal")], max_imports).withColumn("_in", F.lit(True))
+    miss = miss.join(quota, ["paper_id", "ordinal"], "left").withColumn("action", F.when(F.col("_in"), "import").otherwise("over_quota")).drop("_in")
     out = have.unionByName(miss).drop("_doi")
     seen = edges.select(F.col("citing").alias("paper_id"), F.col("cited").alias("library_id"), F.lit(True).alias("_seen"))
     out = out.join(seen, ["paper_id", "library_id"], "left")
