@@ -116,14 +116,15 @@ def _codec(data: bytes, pattern: str) -> Codec:
     return worker_cache(("bpe", hash(data), pattern), lambda: Codec(data, pattern))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", drop: tuple[str, ...] = (), offsets: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", drop: tuple[str, ...] = (), offsets: bool = False, decoded: bool = False) -> DataFrame:
     """Add ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit integers as binary) to each row, and with ``offsets``
-    the character span of each token (``starts``, ``ends``).  ``path`` is the rank file; the driver reads it."""
+    the character span of each token (``starts``, ``ends``).  With ``decoded`` the same pass decodes the ids again and adds their bytes,
+    which saves a second set of workers.  ``path`` is the rank file; the driver reads it."""
     with open(path, "rb") as f:
         data = f.read()
-    new = ["n_tokens", "ids", *(["starts", "ends"] if offsets else [])]
+    new = ["n_tokens", "ids", *(["starts", "ends"] if offsets else []), *(["decoded"] if decoded else [])]
     src = docs.select(*others(docs, [*new, "__text"], drop), col(text).cast("string").alias("__text"))
-    types = {"n_tokens": "long", "ids": "binary", "starts": "array<int>", "ends": "array<int>"}
+    types = {"n_tokens": "long", "ids": "binary", "starts": "array<int>", "ends": "array<int>", "decoded": "binary"}
     kept = src.drop("__text")
     schema = schema_with(kept, **{n: types[n] for n in new})
 
@@ -137,6 +138,8 @@ def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", drop
             if offsets:
                 spans = [codec.spans(t, np.frombuffer(x, "<u4")) for t, x in zip(texts, ids)]
                 cols += [pa.array([s[k] for s in spans], pa.list_(pa.int32())) for k in (0, 1)]
+            if decoded:
+                cols.append(pa.array([codec.decode(np.frombuffer(x, "<u4")) for x in ids], pa.binary()))
             yield pa.RecordBatch.from_arrays(cols, [*(n for n in batch.schema.names if n != "__text"), *new])
 
     return src.mapInArrow(run, schema)
@@ -162,5 +165,5 @@ def decode(tokens: DataFrame, path: str, *, ids: str = "ids", as_text: bool = Fa
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per document: number of tokens, digest of the ids and digest of what they decode to."""
-    coded = decode(encode(docs.select("doc_id", "text"), path, pattern, drop=("text",)), path)
+    coded = encode(docs.select("doc_id", "text"), path, pattern, drop=("text",), decoded=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

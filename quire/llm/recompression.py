@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from quire.llm.common import col, pieces, schema_with
 
 SIZE, PAIR_ROUNDS = 20, 3
+#: Bytes of text that a task names at once.
+PIECE = 2 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -169,7 +171,7 @@ def _settled(order: np.ndarray, *lead: np.ndarray) -> np.ndarray:
 def _elected(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Rows (key, doc, part, windows, mark): blocks by symbol; ``mark`` holds the words' key above the block's place.  A block that an earlier
     one of the piece equals is settled: it has a negative number of windows and a key of its own."""
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", PIECE):
         words = Words(batch.column("text"))
         text, at, count, symbol, whole = _blocks(words, size)
         doc, part = (batch.column(c).to_numpy(zero_copy_only=False)[text].astype(np.int64) for c in ("doc", "part"))
@@ -199,7 +201,7 @@ def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Rows (k1, k2, doc, part, pos): the windows of open blocks under their words' names.  Windows that repeat an earlier one of the piece
     are settled: they carry a small key and ``-1 - pos``."""
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", PIECE):
         part = batch.column("part").to_numpy(zero_copy_only=False).astype(np.int64)
         row, place, count, repeat = _lists(batch.column("spots"), part)
         row, place, count = row[~repeat], place[~repeat], count[~repeat]
@@ -222,7 +224,7 @@ def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
 
 def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Kept text, number of words and number removed, in place of the text and the repeats' places."""
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", PIECE):
         words = Words(batch.column("text"))
         part = batch.column("part").to_numpy(zero_copy_only=False).astype(np.int64)
         depth = np.zeros(len(words.first) + 1, np.int64)

@@ -25,6 +25,8 @@ def library():
 
 def test_bpe(docs, rows, nothing):
     enc, got = library(), by_id(bpe.digests(docs, PATH, P.PATTERN))
+    apart = bpe.decode(bpe.encode(docs, PATH, P.PATTERN), PATH).collect()
+    assert {bytes(r["decoded"]) for r in apart} == {(t or "").encode() for _, t, *_ in rows}
     assert len(got) == len(rows) and bpe.digests(nothing, PATH, P.PATTERN).count() == 0
     for i, t, *_ in rows:
         ids = enc.encode_ordinary(t or "")
