@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from quire.functions.similarity import block_ratio, bounded_edit_similarity
+from quire.functions.similarity import block_ratio, bounded_edit_similarity, may_match
 from quire.functions.text import citation_key, doi_key, title_key, title_plain
 from quire.session import checkpointed, repeat_per_salt, salt_of, spread, top_k
 
@@ -45,18 +46,27 @@ def _partner_range(length: Column, t: float, measure: str) -> tuple[Column, Colu
     return F.ceil(length / up - 1e-9), F.floor(length * up + 1e-9)
 
 
-def _prefixes(texts: DataFrame, freq_of: DataFrame | None, t: float, measure: str) -> DataFrame:
-    """Rarest grams of each text that must contain one gram of any partner."""
-    q = 2
+def _gram_size(t: float, measure: str) -> int:
+    """Longest grams of which a text at this threshold keeps four in ten whatever its partner lacks."""
+    lost = 2 * (1 - t) / (2 - t) if measure == "ratio" else (1 - t) / t
+    return max([q for q in (1, 2, 3, 4) if q * lost <= 0.6], default=1)
+
+
+def _prefixes(texts: DataFrame, t: float, measure: str) -> DataFrame:
+    """Grams of each text with the number of rarest ones that must contain one gram of any partner."""
+    q = _gram_size(t, measure)
+    up = (2 - t) / t if measure == "ratio" else 1 / t
     short = max([n for n in range(1, 400) if _missing(n, q, t, measure) + 1 > n - q + 1], default=0)
-    if short >= 390:  # threshold too low for two-character grams
+    if short >= 390:  # threshold too low for grams of this size
         q, short = 1, 0
-    reach = int(short * ((2 - t) / t if measure == "ratio" else 1 / t)) + 1
+    reach = int(short * up) + 1
     n = F.length("text")
     sizes = F.filter(F.array(F.when(n > short, F.lit(q)), F.when((n <= reach) & F.lit(short > 0), F.lit(1))), lambda x: x.isNotNull())
     rows = spread(texts, "key").withColumn("q", F.explode(sizes))
     keep = _missing(n, F.col("q"), t, measure) + 1
-    return rows.select("key", n.alias("n"), keep.alias("keep"), "q", F.explode(_grams("text", "q")).alias("gram"))
+    # lengths of partners lie in the same band of a geometric scale or beside it
+    band = F.floor(F.log(n.cast("double")) / math.log(up) + 1e-9).cast("int") if up > 1 else n
+    return rows.select("key", n.alias("n"), band.alias("band"), keep.alias("keep"), "q", F.explode(_grams("text", "q")).alias("gram"))
 
 
 def similar_texts(left: DataFrame, right: DataFrame | None, t: float, *, measure: str = "ratio",
@@ -66,30 +76,35 @@ def similar_texts(left: DataFrame, right: DataFrame | None, t: float, *, measure
     Inputs hold distinct ``text`` with a ``key``; ``right`` None means a self join with
     key_a < key_b.  A partner at similarity t can lack only so many characters, hence only
     so many grams; so two partners share one of their rarest grams.  Candidates are pairs
-    that share such a gram and fit each other's length window; only those are scored.
+    that share such a gram in neighbouring bands of length.  The ratio is at most what the
+    edit distance allows, so pairs beyond that distance never reach Python.
     """
     own = right is None
-    grams_a = _prefixes(left, None, t, measure)
-    grams_b = grams_a if own else _prefixes(right, None, t, measure)
+    grams_a = _prefixes(left, t, measure)
+    grams_b = grams_a if own else _prefixes(right, t, measure)
     every = grams_a.select("gram") if own else grams_a.select("gram").unionByName(grams_b.select("gram"))
     freq = every.groupBy("gram").agg(F.count("*").alias("freq"))
     rare = lambda g: g.join(freq, "gram").withColumn(
         "r", F.row_number().over(Window.partitionBy("key", "q").orderBy("freq", "gram"))).filter("r <= keep")
     # a common gram is met in parts of about a thousand texts
     parts = F.ceil(F.col("freq") / 1000).cast("int")
-    a = rare(grams_a).select("gram", F.col("key").alias("key_a"), F.col("n").alias("n_a"),
+    a = rare(grams_a).select("gram", "band", F.col("key").alias("key_a"), F.col("n").alias("n_a"),
                              F.pmod(F.xxhash64("key"), parts).cast("int").alias("salt"))
-    b = rare(grams_b).select("gram", F.col("key").alias("key_b"), F.col("n").alias("n_b"),
-                             F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+    b = rare(grams_b).select("gram", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("key").alias("key_b"), F.col("n").alias("n_b"), parts.alias("parts"))
+    b = b.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     low, high = _partner_range(F.col("n_a"), t, measure)
-    pairs = a.join(b, ["gram", "salt"]).filter(F.col("n_b").between(low, high))
+    pairs = a.join(b, ["gram", "band", "salt"]).filter(F.col("n_b").between(low, high))
     if own:
         pairs = pairs.filter("key_a < key_b")
     pairs = pairs.select("key_a", "key_b").distinct()
     other = left if own else right
     pairs = pairs.join(left.select(F.col("key").alias("key_a"), F.col("text").alias("text_a")), "key_a")
     pairs = pairs.join(other.select(F.col("key").alias("key_b"), F.col("text").alias("text_b")), "key_b")
-    score = block_ratio("text_a", "text_b") if measure == "ratio" else bounded_edit_similarity(F.col("text_a"), F.col("text_b"), t)
+    if measure == "ratio":
+        pairs = pairs.filter(may_match(F.col("text_a"), F.col("text_b"), 1 - t))
+        score = block_ratio("text_a", "text_b")
+    else:
+        score = bounded_edit_similarity(F.col("text_a"), F.col("text_b"), t)
     scored = pairs.withColumn("similarity", score)
     return scored.filter(F.col("similarity") > t if strict else F.col("similarity") >= t).select("key_a", "key_b", "similarity")
 
