@@ -191,7 +191,24 @@ def _(t):
     return chunking.chunk_chars(t.documents)
 
 
-@query("c01_chunk_breaks")
+# boundaries one after the other: the last sentence end in the window's final fifth, else the window's end
+@query("c01_chunk_chars_places", r"""
+    WITH RECURSIVE d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents),
+    cut(doc_id, t, s, e) AS (SELECT doc_id, t, -1, 0 FROM d WHERE t <> ''
+      UNION ALL SELECT doc_id, t, s, CASE WHEN s + 500 >= length(t) THEN length(t) WHEN k IS NOT NULL AND k < 99 AND NOT closed THEN s + 500 - k - 1 ELSE s + 500 END
+      FROM (SELECT *, CASE WHEN regexp_matches(r, ' [.!?]') THEN length(regexp_extract(r, '^(.*?) [.!?]', 1)) END AS k, regexp_matches(r, '^[.!?]') AS closed
+        FROM (SELECT *, reverse(substring(t, s + 1, 500)) AS r FROM (SELECT doc_id, t, CASE WHEN s < 0 THEN 0 WHEN e - 50 > s THEN e - 50 ELSE e END AS s FROM cut WHERE e < length(t)))))
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s)::INT - 1 AS chunk_index, trim(substring(t, s + 1, e - s)) AS text, s AS start_char, e AS end_char FROM cut WHERE s >= 0""")
+def _(t):
+    return chunking.chunk_chars(t.documents).drop("section")
+
+
+@query("c01_chunk_breaks", r"""
+    WITH RECURSIVE cut(doc_id, t, s, e) AS (SELECT doc_id, text, -1, 0 FROM documents WHERE trim(text) <> ''
+      UNION ALL SELECT doc_id, t, s, CASE WHEN s + 400 >= length(t) THEN length(t) WHEN gap > 0 AND gap < 199 THEN s + 401 - gap WHEN dot > 0 AND dot < 200 THEN s + 401 - dot ELSE s + 400 END
+      FROM (SELECT *, instr(r, chr(10) || chr(10)) AS gap, instr(r, '.') AS dot
+        FROM (SELECT *, reverse(substring(t, s + 1, 400)) AS r FROM (SELECT doc_id, t, CASE WHEN s < 0 THEN 0 ELSE greatest(e - 40, s + 1) END AS s FROM cut WHERE e < length(t)))))
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s)::INT - 1 AS chunk_index, substring(t, s + 1, e - s) AS text, s AS start_char, e AS end_char, NULL::VARCHAR AS section FROM cut WHERE s >= 0""")
 def _(t):
     return chunking.chunk_breaks(t.documents, tokens=100, overlap=10)
 
