@@ -33,18 +33,23 @@ def unescaped(texts: pd.Series) -> pd.Series:
 
 
 def base32_sha1(value: Column) -> Column:
-    """``sha1:`` and the digest in base 32: forty hexadecimal digits are eight groups of twenty bits, four characters each."""
-    digest = F.sha1(value)
-    group = lambda i: F.conv(F.substring(digest, i * 5 + 1, F.lit(5)), 16, 10).cast("int")
+    """``sha1:`` and the digest in base 32: forty hexadecimal digits are eight groups of twenty bits, four characters each.
+
+    The digest and each group are bound by a lambda, so each is computed once.
+    """
     four = lambda n: F.concat(*[F.substring(F.lit(ALPHABET), F.shiftright(n, k).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for k in (15, 10, 5, 0)])
-    return F.concat(F.lit("sha1:"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: four(group(i))), ""))
+    groups = lambda d: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(d, i * 5 + 1, F.lit(5)), 16, 10).cast("int"))
+    whole = lambda d: F.concat(F.lit("sha1:"), F.array_join(F.transform(groups(d), four), ""))
+    return F.get(F.transform(F.array(F.sha1(value)), whole), F.lit(0))
 
 
 def record_id(*parts: Column) -> Column:
     """Identifier derived from what it identifies."""
-    h = F.sha1(F.concat_ws("\n", *parts))
-    cut = lambda a, n: F.substring(h, a, n)
-    return F.concat(F.lit("<urn:uuid:"), cut(1, 8), F.lit("-"), cut(9, 4), F.lit("-5"), cut(14, 3), F.lit("-a"), cut(18, 3), F.lit("-"), cut(21, 12), F.lit(">"))
+    def shape(h: Column) -> Column:
+        cut = lambda a, n: F.substring(h, a, n)
+        return F.concat(F.lit("<urn:uuid:"), cut(1, 8), F.lit("-"), cut(9, 4), F.lit("-5"), cut(14, 3), F.lit("-a"), cut(18, 3), F.lit("-"), cut(21, 12), F.lit(">"))
+
+    return F.get(F.transform(F.array(F.sha1(F.concat_ws("\n", *parts))), shape), F.lit(0))
 
 
 def plain_text(payload: Column) -> Column:
