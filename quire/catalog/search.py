@@ -275,6 +275,39 @@ def _(t):
     return out.withColumn("score", F.round("score", 6))
 
 
+# chunks: the label names the paper; the best chunk scores it
+CHUNK_NEAR = """cp AS (SELECT q.vec_id AS query_id, v.label || '_' || v.vec_id AS id, v.label AS paper, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
+    FROM embeddings q JOIN search_queries s ON s.query_id = q.vec_id CROSS JOIN embeddings v),
+    cf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM cp WHERE score >= 0.1) WHERE n <= 30),
+    near AS (SELECT query_id, CAST(paper AS BIGINT) AS doc_id, max(score) AS score, row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, paper) AS rank FROM cf GROUP BY 1, paper)"""
+
+
+@query("r12_hybrid_chunks", f"WITH {TOK}, {bm25_sql('search_queries')}, words AS ({top('scored', 30)}), {CHUNK_NEAR}, {FUSED}", "docs search_queries")
+def _(t):
+    chunks = t.vectors.select(F.concat_ws("_", "label", "id").alias("chunk_id"), F.col("label").cast("long").alias("paper_id"), "embedding")
+    out = search.hybrid(t.search_queries, query_vectors(t), index(t, t.search_queries), t.vectors, chunks=chunks, k=10, min_score=0.1)
+    return out.withColumn("score", F.round("score", 6))
+
+
+@query("r18_search_keyword", f"WITH {TOK}, {bm25_sql('search_queries')} SELECT query_id, doc_id, score, rank, 'keyword' AS strategy FROM ({top('scored', 5)})", "docs search_queries")
+def _(t):
+    out = search.search(t.search_queries, "keyword", docs=t.docs, index=index(t, t.search_queries), k=5)
+    return out.select("query_id", "doc_id", "score", "rank", F.array_join("strategy", ",").alias("strategy"))
+
+
+@query("r18_search_hybrid", f"WITH {TOK}, {bm25_sql('search_queries')}, words AS ({top('scored', 30)}), {NEAR.format(floor=0.2)}, f AS ({FUSED.replace('u AS', 'WITH u AS', 1)}) SELECT *, 'keyword,semantic' AS strategy FROM f", "docs search_queries")
+def _(t):
+    out = search.search(t.search_queries, "hybrid", docs=t.docs, index=index(t, t.search_queries), vectors=t.vectors, query_vectors=query_vectors(t), k=10, min_score=0.2)
+    return out.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank", F.array_join("strategy", ",").alias("strategy"))
+
+
+@query("r18_result_rows", f"WITH {TOK}, {bm25_sql('search_queries')} SELECT s.query_id, s.doc_id, s.rank, round(s.score, 3) AS score, d.title, substring(d.abstract, 1, 200) AS head FROM ({top('scored', 5)}) s JOIN docs d ON d.id = s.doc_id", "docs search_queries")
+def _(t):
+    hits = search.search(t.search_queries, "keyword", docs=t.docs, index=index(t, t.search_queries), k=5)
+    out = search.result_rows(hits, t.docs)
+    return out.select("query_id", F.col("id").alias("doc_id"), "rank", "score", "title", F.substring("abstract", 1, 200).alias("head"))
+
+
 @query("r16_smart")
 def _(t):
     return search.smart(t.search_queries, query_vectors(t), index(t), t.vectors, k=10, min_score=0.2).withColumn("score", F.round("score", 6))

@@ -28,6 +28,13 @@ def _(t):
     return vectors.knn(q, t.vectors.select("id", "embedding"), 10, min_score=0.3, no_self=True, block=100)
 
 
+@query("r09_similar_without_vector", f"WITH {PAIRS} SELECT query_id, id, score, rank FROM (SELECT *, {TOP} FROM p WHERE id % 10 <> 0 AND query_id <> id AND score >= 0.3) WHERE rank <= 5")
+def _(t):
+    # every tenth paper has no vector but one of its text
+    v = t.vectors.select("id", "embedding")
+    return vectors.similar_papers(v.filter("id % 10 <> 0"), 5, min_score=0.3, text_vectors=v)
+
+
 # vectors as chunk vectors: the label names the paper, the document of that number gives the text
 @query("r08_chunk_knn", f"""
     WITH {PAIRS}, h AS (SELECT *, {TOP} FROM p WHERE score >= 0.1), f AS (SELECT * FROM h WHERE rank <= 9),

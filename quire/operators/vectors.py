@@ -45,13 +45,13 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, *, min_score: float | No
     kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["id"]
     part = lambda id_, n: F.pmod(F.xxhash64(id_), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select("query_id", "embedding", part("query_id", nq).alias("qp")).withColumn("vp", every(nv))
+    q = queries.select("query_id", F.col("embedding").alias("asked"), part("query_id", nq).alias("qp")).withColumn("vp", every(nv))
     v = vectors.select("id", "embedding", part("id", nv).alias("vp")).withColumn("qp", every(nq))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": left["query_id"][:0], "id": right["id"][:0], "score": np.zeros(0)})
-        return _best(left["query_id"].to_numpy(), _unit(left["embedding"]), right["id"].to_numpy(), _unit(right["embedding"]), k, min_score, no_self)
+        return _best(left["query_id"].to_numpy(), _unit(left["asked"]), right["id"].to_numpy(), _unit(right["embedding"]), k, min_score, no_self)
 
     hits = q.groupBy("qp", "vp").cogroup(v.groupBy("qp", "vp")).applyInPandas(meet, f"query_id {kinds[0]}, id {kinds[1]}, score double")
     return top_k(hits, ["query_id"], [F.desc("score"), F.col("id")], k, "rank")
@@ -67,10 +67,18 @@ def chunk_knn(queries: DataFrame, chunks: DataFrame, k: int, *, min_score: float
     return top_k(collapse_chunks(hits), ["query_id"], [F.desc("score"), F.col("paper_id")], k, "rank")
 
 
-def similar_papers(vectors: DataFrame, k: int, *, min_score: float | None = None) -> DataFrame:
-    """Neighbours of every vector, itself excluded."""
-    q = vectors.select(F.col("id").alias("query_id"), "embedding")
-    return knn(q, vectors, k, min_score=min_score, no_self=True)
+def similar_papers(vectors: DataFrame, k: int, *, min_score: float | None = None, text_vectors: DataFrame | None = None) -> DataFrame:
+    """Neighbours of every vector, itself excluded.
+
+    ``text_vectors`` (id, embedding), made of title and abstract, stand in for papers
+    without a vector of their own: they ask, but are not found.
+    """
+    asking = vectors.select("id", "embedding")
+    if text_vectors is not None:
+        have = vectors.select(F.col("id").alias("_have"))
+        more = text_vectors.select(F.col("id").alias("id"), F.col("embedding").alias("embedding"))
+        asking = asking.unionByName(more.join(have, F.col("id") == F.col("_have"), "left_anti"))
+    return knn(asking.withColumnRenamed("id", "query_id"), vectors, k, min_score=min_score, no_self=True)
 
 
 def prefer_types(hits: DataFrame, contents: DataFrame, prefer: list[str], k: int) -> DataFrame:

@@ -43,7 +43,7 @@ class StatusMachine(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("status", "status string, due long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         """Arrow batches are walked one after the other, each in time order; only the status is held between them."""
         status, last = self.state.get()[0] if self.state.exists() else None, None
         for batch in rows:
@@ -59,10 +59,10 @@ class StatusMachine(StatefulProcessor):
             if status not in ("complete", "failed"):
                 self.handle.registerTimer(due)
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         status = self.state.get()[0]
         self.state.update(("failed", 0))
-        at = pd.Timestamp(expired.getExpiryTimeInMs(), unit="ms")
+        at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
         yield pd.DataFrame([(key[0], at, status, "failed", "timed_out")], columns=["id", "ts", "old_status", "new_status", "outcome"])
 
     def close(self) -> None:
