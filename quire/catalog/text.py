@@ -1,11 +1,13 @@
 """Scalar functions (N), chunking and structure (C), exports (S)."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quire.catalog.registry import query
 from quire.functions import similarity as sim, text as fx
 from quire.operators import chunking, enrich, linkage, structure
-from quire.sources import bibtex, exports, refmanager, tex, vectorstore
+from quire.sources import bibtex, exports, library, projects, refmanager, tex, vectorstore
 
 JOIN = lambda c, s=",": F.array_join(c, s).alias(c)
 
@@ -520,3 +522,27 @@ def _(t):
     again = rows.join(t.region, F.col("paper_id") == F.col("r_regionkey"), "left_semi")
     vectorstore.write_vectors(again.withColumn("version", F.lit("new")), path)
     return vectorstore.read_vectors(t.spark, path).select("id", "paper_id", "version")
+
+
+@query("s01_library_tables", """
+    SELECT c_custkey AS id, c_name AS name, CAST(NULL AS VARCHAR) AS orcid, CAST(count(o_orderkey) AS BIGINT) AS papers FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2""")
+def _(t):
+    # customers written as authors, their orders as their papers; columns the files lack read as null
+    from quire.session import shared_folder
+    path = f"{shared_folder(t.spark)}/library-{uuid.uuid4().hex}"
+    t.customer.select(F.col("c_custkey").cast("long").alias("id"), F.col("c_name").alias("name")).write.parquet(f"{path}/authors.parquet")
+    t.orders.select(F.col("o_orderkey").cast("long").alias("paper_id"), F.col("o_custkey").cast("long").alias("author_id"), F.lit(0).alias("position")).write.parquet(f"{path}/paper_authors.parquet")
+    lib = library.read_library(t.spark, path, ["authors", "paper_authors"])
+    n = lib["paper_authors"].groupBy(F.col("author_id").alias("id")).agg(F.count("*").alias("papers"))
+    return lib["authors"].join(n, "id", "left").select("id", "name", "orcid", F.coalesce("papers", F.lit(0)).cast("long").alias("papers"))
+
+
+@query("s10_projects", "SELECT s_name AS name, 'nation ' || s_nationkey AS focus, 1 AS topics FROM supplier WHERE s_suppkey % 3 <> 0")
+def _(t):
+    # one registry file per nation
+    from quire.session import shared_folder
+    path = f"{shared_folder(t.spark)}/projects-{uuid.uuid4().hex}"
+    one = F.struct(F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 3 == 0, False).alias("active"), F.array(F.col("s_name")).alias("topics"),
+                   F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")).alias("focus"))
+    t.supplier.groupBy("s_nationkey").agg(F.collect_list(one).alias("projects")).write.partitionBy("s_nationkey").json(path)
+    return projects.read_projects(t.spark, path).select("name", "focus", F.size("topics").alias("topics"))
