@@ -70,9 +70,12 @@ def substring_join(rows: DataFrame, queries: DataFrame, key: str = "id") -> Data
 
     none = F.array().cast("array<string>")
     ask = queries.select("_query").distinct()
+    sizes = sorted(r[0] for r in ask.select(F.least(F.length("_query"), F.lit(3))).distinct().collect())  # at most four numbers
+    if not sizes:
+        return rows.filter("false").join(queries.filter("false"), F.lit(True)).select(*rows.columns, *queries.columns)
+    every = F.concat(*[F.coalesce(runs("_text", n), none) if n else F.array(F.lit("")) for n in sizes])
     own = F.coalesce(*[runs("_query", n) for n in (3, 2, 1)], F.array(F.lit("")))
     ask = ask.select("_query", F.explode(own).alias("_run"))
-    every = F.concat(F.array(F.lit("")), *[F.coalesce(runs("_text", n), none) for n in (1, 2, 3)])
     held = rows.filter("_text IS NOT NULL").select(key, F.explode(every).alias("_run")).join(ask.select("_run").distinct(), "_run", "left_semi").distinct()
     rare = held.groupBy("_run").agg(F.count("*").alias("n"))
     pick = ask.join(rare, "_run").groupBy("_query").agg(F.min(F.struct("n", "_run")).alias("m")).select("_query", F.col("m._run").alias("_run"))
