@@ -7,7 +7,7 @@ identity depends on.  A window of ``size`` words elects, among the high-level sy
 name; the election depends on the window's words alone, so equal windows elect equal symbols.  Where a window determines none
 (inside a long run, say) its own words are elected.
 
-Neighbouring windows that elect the same symbol form a block, named by the symbol and by all the block's words.
+Neighbouring windows that elect the same symbol form a block, named by the symbol and by all the block's words (64 bits each).
 
 1. Blocks are grouped by symbol.  A block with an earlier equal block is a repeat as a whole.  If all blocks of a symbol are equal,
    their windows stand nowhere else, and the first block is clean.
@@ -145,7 +145,7 @@ def elect(words: Words, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _blocks(words: Words, size: int) -> tuple[np.ndarray, ...]:
-    """Blocks of a piece: text, first window (in the text), number of windows, symbol key and key of the words (32 bits)."""
+    """Blocks of a piece: text, first window (in the text), number of windows, symbol key and key of the words (64 bits each)."""
     at, text, chosen, start, lo, hi = elect(words, size)
     new = np.ones(len(at), bool)
     new[1:] = (chosen[1:] != chosen[:-1]) | (chosen[1:] < 0) | (text[1:] != text[:-1])
@@ -156,7 +156,7 @@ def _blocks(words: Words, size: int) -> tuple[np.ndarray, ...]:
     by = np.flatnonzero(chosen >= 0)
     low[by], high[by], place[by] = lo[chosen[by]], hi[chosen[by]], start[chosen[by]] - lo[chosen[by]] + 1
     symbol = mixed_bits(Ranges(words.first).of(low, high) + place.astype(np.uint64))
-    whole = mixed_bits(Ranges(words.second).of(at, at + size - 1 + count) + (low - at).astype(np.uint64) * _P) >> np.uint64(32)
+    whole = mixed_bits(Ranges(words.second).of(at, at + size - 1 + count) + (low - at).astype(np.uint64) * _P)
     return text, at - words.offsets[text], count, symbol, whole
 
 
@@ -169,8 +169,8 @@ def _settled(order: np.ndarray, *lead: np.ndarray) -> np.ndarray:
 
 
 def _elected(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, doc, part, windows, mark): blocks by symbol; ``mark`` holds the words' key above the block's place.  A block that an earlier
-    one of the piece equals is settled: it has a negative number of windows and a key of its own."""
+    """Rows (key, doc, part, windows, whole, place): blocks by symbol; ``whole`` is the words' key.  A block that an earlier one of the
+    piece equals is settled: it has a negative number of windows and a key of its own."""
     for batch in pieces(batches, "text", PIECE):
         words = Words(batch.column("text"))
         text, at, count, symbol, whole = _blocks(words, size)
@@ -179,9 +179,8 @@ def _elected(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
         later = _settled(order, symbol, whole)
         text, at, count, symbol, whole, doc, part = (x[order] for x in (text, at, count, symbol, whole, doc, part))
         symbol = np.where(later, mixed_bits(doc.astype(np.uint64)) >> np.uint64(40), symbol)
-        mark = ((whole << np.uint64(32)) | at.astype(np.uint64)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(symbol.view(np.int64)), pa.array(doc), pa.array(part.astype(np.int32)), pa.array(np.where(later, -count, count).astype(np.int32)), pa.array(mark)],
-                                         ["key", "doc", "part", "windows", "mark"])
+        yield pa.RecordBatch.from_arrays([pa.array(symbol.view(np.int64)), pa.array(doc), pa.array(part.astype(np.int32)), pa.array(np.where(later, -count, count).astype(np.int32)), pa.array(whole.view(np.int64)), pa.array(at.astype(np.int32))],
+                                         ["key", "doc", "part", "windows", "whole", "place"])
 
 
 def _lists(column: pa.Array, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -254,16 +253,14 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", size: int = SIZE, dro
     # every step below reads the same columns of this one exchange of the texts
     base = docs.select(*[col(c).alias(f"own_{k}") for k, c in enumerate(kept)], doc.alias("doc"), body.alias("text")).repartition("doc")
     base = base.withColumn("part", F.row_number().over(Window.partitionBy("doc").orderBy(F.xxhash64("text"))))
-    blocks = base.mapInArrow(lambda it: _elected(it, size), "key long, doc long, part int, windows int, mark long")
-    group = Window.partitionBy("key").orderBy("whole", "doc", "part", "mark")
+    blocks = base.mapInArrow(lambda it: _elected(it, size), "key long, doc long, part int, windows int, whole long, place int")
+    group = Window.partitionBy("key").orderBy("whole", "doc", "part", "place")
     every = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    blocks = blocks.withColumn("whole", F.shiftright("mark", 32))
-    seen = blocks.withColumns({"repeat": (F.col("windows") < 0) | (F.lag("whole").over(group) == F.col("whole")), "kinds": F.max("whole").over(every) - F.min("whole").over(every)})
+    seen = blocks.withColumns({"repeat": (F.col("windows") < 0) | (F.lag("whole").over(group) == F.col("whole")), "several": F.max("whole").over(every) != F.min("whole").over(every)})
     # settled blocks stand under small keys beside no other block that counts
-    seen = seen.filter(F.col("repeat") | ((F.col("kinds") != 0) & (F.col("windows") > 0)))
-    place = F.col("mark").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    seen = seen.filter(F.col("repeat") | (F.col("several") & (F.col("windows") > 0)))
     one = lambda place, windows, repeat: F.struct("part", place.alias("place"), windows.alias("windows"), repeat.alias("repeat"))
-    spots = seen.groupBy("doc").agg(F.collect_list(one(place, F.abs("windows"), F.coalesce("repeat", F.lit(False)))).alias("spots"))
+    spots = seen.groupBy("doc").agg(F.collect_list(one(F.col("place"), F.abs("windows"), F.coalesce("repeat", F.lit(False)))).alias("spots"))
     open_ = base.join(spots, "doc").mapInArrow(lambda it: _windows(it, size), "k1 long, k2 long, doc long, part int, pos int")
     first = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("doc", "part", "pos"))
     lost = open_.withColumn("nth", first).filter("pos < 0 OR nth > 1")

@@ -55,6 +55,14 @@ def test_repeats_rows_without_or_with_equal_ids(spark):
     assert got == [(0, 30, 30), (1, 30, 0), (1, 30, 30), (2, 35, 25)]
 
 
+def test_repeats_blocks_of_like_halves(spark):
+    """Two different blocks of one symbol whose words' keys agree in their upper 32 bits."""
+    phrase = " ".join(f"p{k}" for k in range(18))
+    rows = [(i, f"a{i} {phrase} b{i}") for i in (7601, 69477)]
+    got = by_id(recompression.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert all((got[i]["n_removed"], got[i]["kept"]) == (0, t) for i, t in rows)
+
+
 def test_elections_agree():
     """Equal windows elect equal symbols whatever stands around them."""
     import pyarrow as pa
