@@ -9,7 +9,7 @@ import numpy as np
 import xxhash
 from conftest_llm import SCHEMA, sample, words
 
-from quire.llm import mixing, recompression, simhash
+from quire.llm import mixing, recompression, simhash, similar
 
 
 def by_id(df):
@@ -109,6 +109,44 @@ def test_simhash(docs, rows, nothing):
     assert stay == {rows[w][0] for w in want}
 
 
+def shingles(t, size=5):
+    w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    return {tuple(w[i:i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def first_of_similar(rows):
+    """Ids of the first row of each group connected by a likeness of at least 0.8, by all pairs."""
+    rows = sorted(rows)
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return {rows[find(i)][0] for i in range(len(rows))}
+
+
+def test_similar_texts(spark, docs, rows):
+    """Edited copies of all degrees, many beyond four bits; with tiny buckets centres are taken."""
+    r = random.Random(3)
+    texts = []
+    for g in range(30):
+        base = [f"g{g}w{r.randrange(400)}" for _ in range(r.choice((8, 60, 200)))]
+        for _ in range(6):
+            w = list(base)
+            for _ in range(r.randrange(1 + len(w) // 40)):
+                w[r.randrange(len(w))] = f"x{r.randrange(10 ** 6)}"
+            texts.append(" ".join(w))
+    made = list(enumerate(r.sample(texts, len(texts))))
+    df, want = spark.createDataFrame(made, "doc_id long, text string"), first_of_similar(made)
+    assert len(want) < len({made[w][0] for w in closed([fingerprint(t, 5) for _, t in made])})
+    for how in ({}, {"bucket": 2, "few": 1}):
+        assert {x["doc_id"] for x in similar.keep_first(df, **how).collect()} == want
+    assert {x["doc_id"] for x in similar.keep_first(docs).collect()} == first_of_similar([(i, t) for i, t, *_ in rows])
+
+
 def test_links_through_large_buckets(spark):
     """With tiny buckets all three rounds of blocks are taken, and no connection is lost."""
     r = random.Random(4)
