@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as P
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, licenses, mixing, quality, recompression, rules, simhash, trie, warc, winnow
+from quire.llm import bpe, licenses, mixing, quality, recompression, resample, rules, simhash, spelling, toxicity, trie, warc, winnow
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,18 @@ def _(spark, sf_dir):
 @query("op10_bpe")
 def _(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), BPE, P.PATTERN)
+
+
+@query("op11_spelling", spelling.GROUPED_SQL)
+def _(spark, sf_dir):
+    return spelling.grouped(table(spark, sf_dir, "documents"))
+
+
+@query("op12_resampling", resample.RESAMPLED_SQL)
+def _(spark, sf_dir):
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_toxicity")
+def _(spark, sf_dir):
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
