@@ -5,8 +5,8 @@ however long the text, so that one insult in a long text weighs as much as in a
 the L1 term keeps coordinates at exactly zero until their gradients outweigh it: what remains are a few weights, broadcast as
 (index, weight) pairs.  The bias starts at the share of toxic rows and is not regularised.
 
-Training reads at most ``sample`` labelled documents (a documented bound, chosen by a hash of the id), in ``shards`` tasks whose weights are
-averaged; every document is scored whole.
+Training reads at most ``sample`` labelled documents (a documented bound, chosen by a hash of the id), in order; with ``shards``
+above one that many tasks learn side by side and their weights are averaged.  Every document is scored whole.
 
 Defined results: null, empty and blank texts have no features and get the score of the bias; null labels and labels without a document are
 not learned from; a document with several labels counts as toxic if one says so; without any label the score is 0.5 for all; repeated
@@ -77,8 +77,8 @@ def ftrl(rows: list[tuple[int, np.ndarray]], *, start: float, epochs: int, alpha
     return dict(zip(at.tolist(), w.tolist())), bias
 
 
-def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str = "toxic", sample: int = 16000, shards: int = 4,
-          epochs: int = 3, alpha: float = 0.1, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0) -> DataFrame:
+def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str = "toxic", sample: int = 16000, shards: int = 1,
+          epochs: int = 3, alpha: float = 2.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.1) -> DataFrame:
     """Averaged weights (index, weight), the bias under index -1, learned from at most ``sample`` labelled documents."""
     chosen = (labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(shards)).cast("int")))
@@ -99,8 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str
 
     vectors = rows.mapInArrow(describe, "doc_id long, y int, shard int, index array<int>")
     parts = vectors.groupBy("shard").applyInPandas(fit, "index int, weight double")
-    fitted = parts.groupBy("index").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
-    return fitted
+    return parts.groupBy("index").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
 
 
 def model_of(weights: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
