@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quire.catalog.registry import query
 from quire.functions.similarity import cosine
-from quire.operators import reports, vectors
+from quire.operators import reports, vector_index, vectors
 
 PAIRS = """p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score, b.label
      FROM embeddings a CROSS JOIN embeddings b)"""
@@ -108,3 +108,44 @@ def _(t):
     a = t.vectors.select("id", F.col("embedding").alias("a"))
     b = t.vectors.select((F.col("id") - 1).alias("id"), F.col("embedding").alias("b"))
     return a.join(b, "id").select("id", F.round(cosine("a", "b"), 6).alias("score"))
+
+
+@query("r07_probe_all_cells", f"WITH {PAIRS} SELECT query_id, id, score, rank FROM (SELECT *, {TOP} FROM p WHERE label = 3) WHERE rank <= 5")
+def _(t):
+    # every cell is read: the exact result through the index; the filter acts before the search
+    index = vector_index.stored(vector_index.build(t.vectors))
+    index = vector_index.replace(index, vectors=index.vectors.filter("label = 3"))
+    return vector_index.probe(t.vectors.select(F.col("id").alias("query_id"), "embedding"), index, 5, probes=len(index.centres))
+
+
+@query("r07_cells", """
+    SELECT count(*) AS vectors, TRUE AS every_vector_in_a_cell FROM embeddings""")
+def _(t):
+    index = vector_index.build(t.vectors)
+    found = index.vectors.filter(F.col("cell").isNotNull()).groupBy("id").agg(F.count("*").alias("n"))
+    whole = t.vectors.select("id").join(found, "id", "left")
+    return whole.agg(F.count("*").alias("vectors"), F.bool_and(F.coalesce(F.col("n") == 1, F.lit(False))).alias("every_vector_in_a_cell"))
+
+
+@query("r07_recall")
+def _(t):
+    # queries: every row whose id is divisible by 20, against all rows
+    index = vector_index.stored(vector_index.build(t.vectors))
+    q = t.vectors.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    return vector_index.recall(vector_index.probe(q, index, 10), vectors.knn(q, t.vectors, 10))
+
+
+@query("r09_neighbours_probed", f"WITH {PAIRS} SELECT query_id, id, score, rank FROM (SELECT *, {TOP} FROM p WHERE query_id <> id AND score >= 0.3) WHERE rank <= 10")
+def _(t):
+    index = vector_index.stored(vector_index.build(t.vectors.select("id", "embedding")))
+    return vector_index.neighbours(index, 10, probes=len(index.centres), min_score=0.3)
+
+
+@query("r08_chunk_probe", f"""
+    WITH {CHUNK_PAIRS}, f AS (SELECT * FROM (SELECT *, {TOP} FROM p) WHERE rank <= 12), b AS (SELECT query_id, label AS paper_id, max(score) AS score FROM f GROUP BY 1, 2)
+    SELECT * FROM (SELECT query_id, CAST(paper_id AS BIGINT) AS paper_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, paper_id) AS rank FROM b) WHERE rank <= 4""")
+def _(t):
+    chunks = named_chunks(t)
+    index = vector_index.stored(vector_index.build(chunks.select(F.col("chunk_id").alias("id"), "embedding")))
+    q = t.vectors.select(F.col("id").alias("query_id"), "embedding")
+    return vector_index.chunk_probe(q, chunks, index, 4, probes=len(index.centres)).select("query_id", "paper_id", "score", "rank")
