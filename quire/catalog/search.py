@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quire.catalog.registry import query
-from quire.operators import ranking, retrieval, rewrite, search, textindex
+from quire.operators import bounded, ranking, retrieval, rewrite, search, textindex
 
 ABSTRACT = {"abstract": 5.0}
 
@@ -74,6 +74,27 @@ def _(t):
     return retrieval.bm25(t.search_queries, index(t, t.search_queries), docs=t.docs, year_min=2000, year_max=2010, k=20)
 
 
+def blocked(t):
+    return bounded.stored_blocked(textindex.build_index(t.docs, only=textindex.query_terms(t.search_queries)))
+
+
+@query("r03_bm25_bounded", f"WITH {TOK}, {bm25_sql('search_queries')} SELECT query_id, doc_id, score, rank FROM ({top('scored', 10)})", "docs search_queries")
+def _(t):
+    return bounded.bm25(t.search_queries, blocked(t), k=10)
+
+
+@query("r03_bm25_bounded_years", f"""WITH {TOK}, {bm25_sql('search_queries')},
+    kept AS (SELECT s.* FROM scored s JOIN docs d ON d.id = s.doc_id WHERE d.year BETWEEN 2000 AND 2010)
+    SELECT query_id, doc_id, score, rank FROM ({top('kept', 20)})""", "docs search_queries")
+def _(t):
+    return bounded.bm25(t.search_queries, blocked(t), docs=t.docs, year_min=2000, year_max=2010, k=20)
+
+
+@query("r03_postings_read")
+def _(t):
+    return bounded.postings_read(t.search_queries, blocked(t), k=10)
+
+
 @query("r04_any_terms", f"""WITH {TOK}, q AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+')) AS term FROM search_queries)
     SELECT query_id, doc_id, count(*) AS matched_terms FROM q JOIN post USING (term) GROUP BY 1, 2""", "docs search_queries")
 def _(t):

@@ -125,14 +125,21 @@ def save_index(index: TextIndex, path: str, buckets: int = 64) -> None:
     postings = index.postings.withColumn("bucket", bucket_of(buckets)).repartition(buckets, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8)))
     postings.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
-    written = index.postings.sparkSession.read.parquet(f"{path}/postings")
+    written = index.postings.sparkSession.read.schema(postings_schema(index.docs)).parquet(f"{path}/postings")
     written.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
 
 
+def postings_schema(docs: DataFrame, more: str = "") -> str:
+    """Columns of stored postings: an index without postings leaves no file to read them from."""
+    kind = dict(docs.dtypes)["doc_id"]
+    return f"term string, doc_id {kind}, dl int, f double, tf bigint, hits array<struct<field:string,pos:int>>, {more}bucket int"
+
+
 def load_index(spark: SparkSession, path: str, stemmed: bool = False, buckets: int = 64) -> TextIndex:
     """A saved index; ``buckets`` as it was saved."""
     read = spark.read.parquet
-    return TextIndex(read(f"{path}/postings"), read(f"{path}/docs"), read(f"{path}/terms"), stemmed, buckets)
+    docs = read(f"{path}/docs")
+    return TextIndex(spark.read.schema(postings_schema(docs)).parquet(f"{path}/postings"), docs, read(f"{path}/terms"), stemmed, buckets)
 
 
 def stored(index: TextIndex) -> TextIndex:
