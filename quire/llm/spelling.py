@@ -1,11 +1,14 @@
 """Operator 11: grouping of spelling variants, words one edit apart, by pivotal grams.
 
-The bigrams of a word are put in one order for all words, rarest first.  The first ``2 * within + 1`` of them (and those that tie with the
-last) are its prefix; of these, ``within + 1`` disjoint ones with the fewest words between them, found by dynamic programming, are its
-pivots.  An edit touches one of two disjoint grams at most, so of two near words the one whose prefix ends earlier in the order has a
-pivot left in the other's prefix: pivots of all words are looked up among the prefixes of all words.  A shared gram also limits place
-and length: with ``d`` the shift of its place and ``e`` the difference of the lengths, ``|d| + |e - d|`` edits are needed at least, so place
-and length are part of the join key.  The edit distance is verified in the join itself, so no candidate pair leaves it.
+The bigrams of a word are put in one order for all words, rarest first.  The first three of them (and those that tie with the last) are its
+prefix; of these, two disjoint ones with the fewest words between them, found by dynamic programming, are its pivots.  An edit touches
+one of two disjoint grams at most, so of two near words the one whose prefix ends earlier in the order has a pivot left in the other's
+prefix: pivots of all words are looked up among the prefixes of all words.
+
+A gram that is left limits places: the edit is either after it, and then the words agree up to its end, or before it, and then they agree from
+its beginning, with the place shifted by the difference of the lengths.  On the side of the edit, cut in half at a place that the length fixes,
+one half is untouched.  Length, place, the agreeing part and the untouched half are the join key; the edit distance is verified in the
+join itself, so no candidate pair leaves it.
 
 Words are counted with partial sums before the shuffle.  The table of gram frequencies has at most 90 * 90 rows in this alphabet.
 
@@ -18,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.llm.common import LOWER, UPPER, col
 from quire.llm.resample import crc32_sql
@@ -26,7 +29,7 @@ from quire.session import checkpointed
 
 #: Letters of a word, grams, and the edited share of the words.
 LETTERS = r"[A-Za-zÀ-ÿ]"
-Q, WITHIN, LEAST_CHARS, LEAST_COUNT, TIMES, EVERY = 2, 1, 7, 2, 10, 31
+Q, LEAST_CHARS, LEAST_COUNT, TIMES, EVERY = 2, 7, 2, 10, 31
 
 
 def counted(docs: DataFrame, *, text: str = "text", key: str = "doc_id", least_chars: int = LEAST_CHARS, least_count: int = LEAST_COUNT, every: int | None = EVERY) -> DataFrame:
@@ -58,37 +61,66 @@ def pivots_of(places: list[int], costs: list[int], picks: int, q: int = Q) -> li
     return list(best[picks][n][1])
 
 
-def prefix_of(word: str, frequency: dict[str, int], within: int = WITHIN, q: int = Q) -> list[tuple[str, int, bool]]:
-    """Prefix grams of a word by place: gram, place, and whether it is a pivot."""
-    found = [(frequency[word[i:i + q]], word[i:i + q], i) for i in range(len(word) - q + 1)]
-    last = sorted(found)[q * within][:2]
+def prefix_of(word: str, frequency: dict[str, int]) -> list[tuple[int, bool]]:
+    """Places of the prefix grams of a word, and whether each is a pivot."""
+    found = [(frequency[word[i:i + Q]], word[i:i + Q], i) for i in range(len(word) - Q + 1)]
+    last = sorted(found)[Q][:2]
     inside = [x for x in found if x[:2] <= last]
-    chosen = set(pivots_of([x[2] for x in inside], [x[0] for x in inside], within + 1, q))
-    return [(gram, i, k in chosen) for k, (_, gram, i) in enumerate(inside)]
+    chosen = set(pivots_of([x[2] for x in inside], [x[0] for x in inside], 2))
+    return [(i, k in chosen) for k, (_, _, i) in enumerate(inside)]
+
+
+def _text(start: Column, end: Column | None = None) -> Column:
+    """Part of the word from ``start`` (from 0) to before ``end``."""
+    return F.substring("word", start + 1, (F.length("word") if end is None else end) - start)
+
+
+def _key(side: int, length: Column, place: Column, *parts: Column) -> Column:
+    return F.xxhash64(F.lit(side), length, place, *parts)
 
 
-def near(words: DataFrame, *, within: int = WITHIN, q: int = Q, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """Pairs (word, n, other, other_n) of words at most ``within`` edits apart, in both directions and once each."""
-    if least_chars < q * within + q:
-        raise ValueError("words must be long enough for disjoint grams")
-    gram = F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - (q - 1)), lambda i: F.substring("word", i, F.lit(q))))
+def _index_keys(place: Column) -> Column:
+    """Keys of a prefix gram: edit after it, in the second or in the first half of the rest; edit before it, likewise."""
+    length, none = F.length("word"), F.lit("")
+    half, before = place + Q + F.floor((length - place - Q) / 2).cast("int"), F.floor(place / 2).cast("int")
+    return F.array(_key(0, length, place, _text(F.lit(0), half), none), _key(1, length, place, _text(F.lit(0), place + Q), _text(half)),
+                   _key(2, length, place, none, _text(before)), _key(3, length, place, _text(F.lit(0), before), _text(place)))
+
+
+def _lookup_keys(place: Column, e: Column) -> Column:
+    """Keys under which a word that is ``e`` letters longer than this one is found by a pivot; null where the case can't be."""
+    own, length, none, zero = F.length("word"), F.length("word") + e, F.lit(""), F.lit(0)
+    rest = length - place - Q
+    front = F.floor(rest / 2).cast("int")
+    half, back = place + Q + front, own - (rest - front)
+    at = place + e
+    before = F.floor(at / 2).cast("int")
+    after, ahead = (rest >= 0) & (F.greatest(rest, own - place - Q) > 0), (at >= 0) & (F.greatest(at, place) > 0)
+    return F.array(F.when(after & (own >= half), _key(0, length, place, _text(zero, half), none)),
+                   F.when(after & (back >= place + Q), _key(1, length, place, _text(zero, place + Q), _text(back))),
+                   F.when(ahead & (before - e).between(0, place), _key(2, length, at, none, _text(before - e))),
+                   F.when(ahead & (before <= place), _key(3, length, at, _text(zero, before), _text(place))))
+
+
+def near(words: DataFrame, *, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """Pairs (word, n, other, other_n) of words one edit apart, in both directions and once each."""
+    if least_chars < 2 * Q:
+        raise ValueError("words must be long enough for two disjoint grams")
+    gram = F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - (Q - 1)), lambda i: F.substring("word", i, F.lit(Q))))
     frequency = {r["gram"]: r["f"] for r in words.select(gram.alias("gram")).groupBy("gram").agg(F.count("*").alias("f")).collect()}  # bounded by the alphabet
     shared = words.sparkSession.sparkContext.broadcast(frequency)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(k, *x) for k, w in enumerate(batch.column("word").to_pylist()) for x in prefix_of(w, shared.value, within, q)]
-            at, grams, places, pivot = (list(x) for x in zip(*rows)) if rows else ([], [], [], [])
+            rows = [(k, *x) for k, w in enumerate(batch.column("word").to_pylist()) for x in prefix_of(w, shared.value)]
+            at, places, pivot = (list(x) for x in zip(*rows)) if rows else ([], [], [])
             at = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("word").take(at), batch.column("n").take(at), pa.array(grams, pa.string()), pa.array(places, pa.int32()), pa.array(pivot, pa.bool_())],
-                                             ["word", "n", "gram", "place", "pivot"])
-
-    index = words.select("word", "n").mapInArrow(run, "word string, n long, gram string, place int, pivot boolean").withColumn("length", F.length("word"))
-    span = range(-within, within + 1)
-    shifts = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.lit(e).alias("e")) for e in span for d in span if abs(d) + abs(e - d) <= within)))
-    asking = index.filter("pivot").withColumn("shift", shifts).select(F.col("word").alias("a"), F.col("n").alias("an"), "gram", (F.col("place") + F.col("shift.d")).alias("place"), (F.col("length") + F.col("shift.e")).alias("length"))
-    asked = index.select(F.col("word").alias("b"), F.col("n").alias("bn"), F.col("gram").alias("bgram"), F.col("place").alias("bplace"), F.col("length").alias("blength"))
-    met = asking.join(asked, (F.col("gram") == F.col("bgram")) & (F.col("place") == F.col("bplace")) & (F.col("length") == F.col("blength")) & F.levenshtein("a", "b", within).between(1, within))
+            yield pa.RecordBatch.from_arrays([batch.column("word").take(at), batch.column("n").take(at), pa.array(places, pa.int32()), pa.array(pivot, pa.bool_())], ["word", "n", "place", "pivot"])
+
+    index = words.select("word", "n").mapInArrow(run, "word string, n long, place int, pivot boolean")
+    asking = index.filter("pivot").withColumn("e", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).select(F.col("word").alias("a"), F.col("n").alias("an"), F.explode(F.array_compact(_lookup_keys(F.col("place"), F.col("e")))).alias("key"))
+    asked = index.select(F.col("word").alias("b"), F.col("n").alias("bn"), F.explode(_index_keys(F.col("place"))).alias("key"))
+    met = asking.join(asked, (asking["key"] == asked["key"]) & (F.levenshtein("a", "b", 1) == 1))
     one, two = F.struct(F.col("a").alias("w"), F.col("an").alias("n")), F.struct(F.col("b").alias("w"), F.col("bn").alias("n"))
     pairs = met.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).distinct()
     both = F.explode(F.array(F.struct(F.col("x").alias("p"), F.col("y").alias("o")), F.struct(F.col("y").alias("p"), F.col("x").alias("o"))))
@@ -106,11 +138,11 @@ def roots(forms: DataFrame) -> DataFrame:
         up = step.select("word", "root")
 
 
-def variants(docs: DataFrame, *, text: str = "text", times: int = TIMES, least_chars: int = LEAST_CHARS, least_count: int = LEAST_COUNT, every: int | None = None, within: int = WITHIN) -> DataFrame:
+def variants(docs: DataFrame, *, text: str = "text", times: int = TIMES, least_chars: int = LEAST_CHARS, least_count: int = LEAST_COUNT, every: int | None = None) -> DataFrame:
     """Per word: ``form``, its most frequent near word if that is at least ``times`` as frequent; ``root``, where forms lead; ``n``, ``n_near`` and ``form_n``."""
     words = checkpointed(counted(docs, text=text, least_chars=least_chars, least_count=least_count, every=every))
     best = F.min(F.struct((-F.col("other_n")).alias("by"), F.col("other").alias("w")))
-    found = near(words, within=within, least_chars=least_chars).groupBy("word").agg(F.first("n").alias("n"), F.count("*").alias("n_near"), best.alias("best"))
+    found = near(words, least_chars=least_chars).groupBy("word").agg(F.first("n").alias("n"), F.count("*").alias("n_near"), best.alias("best"))
     enough = -F.col("best.by") >= times * F.col("n")
     found = checkpointed(found.select("word", "n_near", F.when(enough, F.col("best.w")).alias("form"), F.when(enough, -F.col("best.by")).alias("form_n")))
     last = roots(found.filter("form IS NOT NULL"))
