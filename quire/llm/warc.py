@@ -6,7 +6,8 @@ is concurrent to it and holds the source's header lines, payload digest, title a
 what they identify, so a repeated run names the same records.
 
 Defined results: a null or empty payload gives records with an empty text; without an address the target line is left out; repeated
-rows give equal records; relative links are resolved against the address, fragments, scripts and mail links are left out.
+rows give equal records; relative links are resolved against the address, fragments, scripts and mail links are left out;
+addresses may stand without quotes and hold character references; a comment or script that never closes reaches to the end of the page.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ from quire.llm.common import SPACE_CHARS, col, others
 
 #: Fixed values of the format.
 VERSION, ALPHABET = "WARC/1.0", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-SEVERAL = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<template\b.*?</template\s*>"
+SEVERAL = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<noscript\b.*?(?:</noscript\s*>|\z)|<template\b.*?(?:</template\s*>|\z)"
 BREAKS = r"(?i)</?(p|div|br|hr|li|ul|ol|dl|dt|dd|tr|table|thead|tbody|tfoot|h[1-6]|section|article|header|footer|nav|aside|main|form|blockquote|pre|figure|figcaption|title|head|body|html|address|fieldset|option|select)\b[^>]*>"
-TITLE, HREF = r"(?is)<title[^>]*>(.*?)</title", r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""
+TITLE, HREF = r"(?is)<title[^>]*>(.*?)</title", r"""(?i)<a\s[^>]*?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
 @F.pandas_udf(T.StringType())
@@ -64,7 +65,9 @@ def links(payload: Column, uri: Column) -> Column:
     root, folder = F.regexp_extract(uri, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0), F.regexp_extract(uri, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/[^?#]*/", 0)
     place = lambda x: (F.when(F.rlike(x, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*://")), x).when(F.startswith(x, F.lit("//")), F.concat(F.regexp_extract(uri, r"^[A-Za-z][A-Za-z0-9+.-]*:", 0), x))
                        .when(F.startswith(x, F.lit("/")), F.concat(root, x)).otherwise(F.concat(F.when(folder == "", F.concat(root, F.lit("/"))).otherwise(folder), x)))
-    found = F.filter(F.regexp_extract_all(payload, F.lit(HREF), F.lit(1)), lambda x: ~F.rlike(x, F.lit(r"(?i)^(#|$|javascript:|mailto:|data:|tel:)")))
+    bare = F.transform(F.regexp_extract_all(payload, F.lit(HREF), F.lit(1)), lambda x: F.when(F.rlike(x, F.lit("^[\"']")), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x))
+    whole = F.split(unescaped(F.array_join(bare, "\x01")), "\x01")  # references are resolved for all addresses of a page at once
+    found = F.filter(whole, lambda x: ~F.rlike(x, F.lit(r"(?i)^(#|$|javascript:|mailto:|data:|tel:)")))
     return F.array_distinct(F.transform(found, place))
 
 
@@ -156,7 +159,7 @@ r AS (SELECT *, {uid("'response' || chr(10) || coalesce(CAST(page_id AS VARCHAR)
   list_distinct_in_order AS links, trim(regexp_replace(regexp_extract(h, {q(TITLE)}, 1), '\s+', ' ', 'g')) AS title
   FROM (SELECT *, (SELECT coalesce(list(x ORDER BY i), []) FROM (SELECT x, min(i) AS i FROM (SELECT CASE WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN l
     WHEN starts_with(l, '//') THEN regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*:') || l WHEN starts_with(l, '/') THEN root || l
-    ELSE CASE WHEN folder = '' THEN root || '/' ELSE folder END || l END AS x, i FROM (SELECT unnest(ls) AS l, unnest(range(len(ls))) AS i) AS s
+    ELSE CASE WHEN folder = '' THEN root || '/' ELSE folder END || l END AS x, i FROM (SELECT {ref("CASE WHEN l[1] IN (chr(34), chr(39)) THEN l[2:-2] ELSE l END")} AS l, i FROM (SELECT unnest(ls) AS l, unnest(range(len(ls))) AS i)) AS s
     WHERE NOT regexp_matches(l, '(?i)^(#|$|javascript:|mailto:|data:|tel:)')) GROUP BY x)) AS list_distinct_in_order
     FROM (SELECT *, regexp_extract_all(h, {q(HREF)}, 1) AS ls FROM q))),
 t AS (SELECT *, array_to_string(list_filter(list_transform(string_split({ref("bare")}, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\x0B\f]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS txt,
