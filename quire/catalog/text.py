@@ -424,6 +424,18 @@ def _(t):
     return bibtex.bib_entries(bib_files(t)).select("file", "key", "type", f("title"), f("year"), f("note"))
 
 
+@query("s02_bib_values", """SELECT CAST(owner_id AS VARCHAR) AS file, 'order' || id AS key, 'mail me@x.org, now' AS note, 'House of ' || owner_id || ' & Co' AS publisher, 'a deep one ' || id AS title, CAST(owner_id AS VARCHAR) AS series FROM papers""", "papers")
+def _(t):
+    # values with addresses and deep braces, a name per file, and a series that comes from a parent entry
+    s = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    head = s("@string{house = {House of ", F.col("owner_id").cast("string"), "}}\n@book{Parent, series = ", F.col("owner_id").cast("string"), "}\n")
+    entry = s("@incollection{order", F.col("id").cast("string"), ",\n  title = {a {deep {{one}}} ", F.col("id").cast("string"), "}, note = \"mail me@x.org, now\",\n  crossref = {parent}, publisher = house # { \\& Co},\n}")
+    files = t.papers.groupBy("owner_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", entry.alias("e")))), lambda x: x["e"]), "\n").alias("body"))
+    files = files.select(F.col("owner_id").cast("string").alias("file"), F.concat(head, "body").alias("value"))
+    f = lambda k: F.col("fields")[k].alias(k)
+    return bibtex.bib_entries(files).filter("key <> 'Parent'").select("file", "key", f("note"), f("publisher"), f("title"), f("series"))
+
+
 @query("s03_text_lines", """SELECT file, count(*) AS lines, max(n) AS last FROM (SELECT CAST(page_id AS VARCHAR) AS file, unnest(range(1, len(string_split(html, chr(10))) + 1)) AS n FROM pages) GROUP BY 1""")
 def _(t):
     lines = tex.text_lines(t.pages.select(F.col("page_id").cast("string").alias("file"), F.col("html").alias("value")))
