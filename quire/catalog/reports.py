@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quire.catalog.listing import DATED, REL_SQL, dated, relevances
 from quire.catalog.registry import RAW, query
-from quire.operators import ranking, reports, textindex
+from quire.operators import ranking, reports, textindex, sketches
 from quire.session import top_k
 
 PCT = "round(count(*) FILTER (WHERE {}) * 100.0 / count(*), 1)"
@@ -163,6 +163,21 @@ def _(t):
     return reports.doc_metrics(t.chunks)
 
 
+@query("a06_sketched_chunks", """
+    SELECT section, count(*) AS n, count(DISTINCT paper_id) AS papers, TRUE AS papers_within, TRUE AS median_within, TRUE AS merged_equals_whole FROM chunks GROUP BY section""", "chunks")
+def _(t):
+    # sketches of sixteen buckets, merged; beside them the exact figures and whether the stated errors hold (four deviations)
+    rows = t.chunks.withColumn("chars", F.length("content").cast("double"))
+    how = dict(distinct=["paper_id"], measures=["chars"])
+    parts = sketches.sketch(rows.withColumn("bucket", F.pmod(F.xxhash64("paper_id"), F.lit(16))), ["section", "bucket"], **how)
+    merged = sketches.estimates(sketches.merge(parts, ["section"]), [0.5])
+    whole = sketches.estimates(sketches.sketch(rows, ["section"], **how), [0.5]).select("section", F.col("distinct_paper_id").alias("whole"))
+    exact = rows.groupBy("section").agg(F.count_distinct("paper_id").alias("papers"), F.percentile("chars", F.lit([0.44, 0.56])).alias("around"))
+    both = merged.join(exact, "section").join(whole, "section")
+    return both.select("section", "n", "papers", (F.abs(F.col("distinct_paper_id") - F.col("papers")) <= 4 * 0.016 * F.col("papers") + 1).alias("papers_within"),
+                       F.col("chars_p50").between(F.col("around")[0], F.col("around")[1]).alias("median_within"), (F.col("distinct_paper_id") == F.col("whole")).alias("merged_equals_whole"))
+
+
 @query("a14_verification_summary", """
     SELECT count(*) AS verified, count(*) FILTER (WHERE routing = 'accept') AS accepted, count(*) FILTER (WHERE routing IN ('review', 'reextract')) AS needs_review,
            round(avg(score), 2) AS avg_score, count(error) AS errors
