@@ -132,9 +132,9 @@ def _(t):
 
 @query("r04_boolean_match", f"""WITH {TOK}, {BOOL}, want AS (SELECT query_id, mode, len(list_distinct(want)) AS n, unnest(list_distinct(want)) AS term FROM bq WHERE mode <> 'phrase'),
     hit AS (SELECT query_id, doc_id, any_value(mode) AS mode, any_value(n) AS n, count(*) AS c FROM want JOIN post USING (term) GROUP BY 1, 2),
-    pairs AS (SELECT DISTINCT doc_id, unnest(toks[1:len(toks) - 1]) AS a, unnest(toks[2:len(toks)]) AS b FROM ft WHERE len(toks) > 1),
+    texts AS (SELECT doc_id, ' ' || array_to_string(toks, ' ') || ' ' AS s FROM ft),
     ok AS (SELECT query_id, doc_id FROM hit WHERE mode = 'any' OR c = n
-           UNION SELECT query_id, doc_id FROM bq JOIN pairs ON mode = 'phrase' AND a = want[1] AND b = want[2]),
+           UNION SELECT query_id, doc_id FROM (SELECT * FROM bq WHERE mode = 'phrase') p JOIN texts ON contains(s, ' ' || want[1] || ' ' || want[2] || ' ')),
     banned AS (SELECT query_id, doc_id FROM bq JOIN post ON term = ban)
     SELECT query_id, doc_id FROM ok ANTI JOIN banned USING (query_id, doc_id)""", "docs")
 def _(t):
