@@ -131,7 +131,7 @@ def stored(index: VectorIndex) -> VectorIndex:
     return load(index.vectors.sparkSession, path) if len(index.centres) else index
 
 
-def probe(queries: DataFrame, index: VectorIndex, k: int, *, probes: int = 16, min_score: float | None = None, no_self: bool = False, block: int = BLOCK) -> DataFrame:
+def probe(queries: DataFrame, index: VectorIndex, k: int, *, probes: int = 40, min_score: float | None = None, no_self: bool = False, block: int = BLOCK) -> DataFrame:
     """The k most similar vectors among the ``probes`` nearest cells of every query (query_id, embedding): id, score, rank.
 
     Metadata filters are filters on the index's ``vectors``: they act before the search.
@@ -156,7 +156,7 @@ def probe(queries: DataFrame, index: VectorIndex, k: int, *, probes: int = 16, m
     return top_k(hits, ["query_id"], [F.desc("score"), F.col("id")], k, "rank")
 
 
-def chunk_probe(queries: DataFrame, chunks: DataFrame, index: VectorIndex, k: int, *, probes: int = 16, min_score: float | None = None) -> DataFrame:
+def chunk_probe(queries: DataFrame, chunks: DataFrame, index: VectorIndex, k: int, *, probes: int = 40, min_score: float | None = None) -> DataFrame:
     """R08 over an index of the chunks (id: chunk_id): best papers by their best chunk; 3k chunks are fetched, two are shown."""
     from quire.operators.ranking import collapse_chunks
 
@@ -165,7 +165,7 @@ def chunk_probe(queries: DataFrame, chunks: DataFrame, index: VectorIndex, k: in
     return top_k(collapse_chunks(hits), ["query_id"], [F.desc("score"), F.col("paper_id")], k, "rank")
 
 
-def neighbours(index: VectorIndex, k: int, *, probes: int = 16, min_score: float | None = None) -> DataFrame:
+def neighbours(index: VectorIndex, k: int, *, probes: int = 40, min_score: float | None = None) -> DataFrame:
     """R09 over an index: neighbours of every vector, itself excluded, read from the nearest cells in place of all vectors."""
     return probe(index.vectors.select(F.col("id").alias("query_id"), "embedding"), index, k, probes=probes, min_score=min_score, no_self=True)
 
