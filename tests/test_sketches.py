@@ -29,3 +29,12 @@ def test_merged_parts_equal_the_whole(spark, tmp_path):
     assert merged["c"]["distinct_paper_id"] == 0 and merged["c"]["words_p50"] is None
     assert sketches.estimates(sketches.merge(stored, [])).first()["n"] == 20001
     assert sketches.sketch(df.limit(0), ["section"], **how).count() == 0
+
+
+def test_one_task_estimates_as_merged_parts(spark):
+    rows = spark.range(60000).select((F.col("id") % 5).alias("section"), F.xxhash64("id").alias("paper_id")).coalesce(1)
+    rows = rows.filter("section < 4 OR paper_id % 16 = 0")
+    whole = sketches.estimates(sketches.sketch(rows, ["section"], distinct=["paper_id"]))
+    parts = sketches.sketch(rows.withColumn("bucket", F.pmod("paper_id", F.lit(16))), ["section", "bucket"], distinct=["paper_id"])
+    merged = sketches.estimates(sketches.merge(parts, ["section"]))
+    assert {tuple(r) for r in whole.collect()} == {tuple(r) for r in merged.collect()}
