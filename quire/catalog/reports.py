@@ -86,7 +86,7 @@ def meta(t):
                        WHEN '3-MEDIUM' THEN 'complete' WHEN '5-LOW' THEN 'failed' END""")
     return t.orders.filter("o_orderstatus <> 'P'").select(
         F.col("o_orderkey").alias("paper_id"), status.alias("chunking_status"),
-        F.round(F.col("o_totalprice") / 50000).cast("int").alias("chunk_count"), F.col("o_orderdate").alias("chunking_queued_at"))
+        F.rint(F.col("o_totalprice") / 50000).cast("int").alias("chunk_count"), F.col("o_orderdate").alias("chunking_queued_at"))
 
 
 def parts(t):
