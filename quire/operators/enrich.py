@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions.text import doi_key
@@ -86,9 +88,13 @@ def flag_in_library(results: DataFrame, papers: DataFrame) -> DataFrame:
 
 
 def length_window(length: Column, threshold: float) -> tuple[Column, Column]:
-    """Shortest and longest partner a 2M/T ratio of ``threshold`` allows, with a margin of ten."""
-    low = F.greatest((length * threshold / (2 - threshold)).cast("int") - 10, F.lit(1))
-    return low, (length * (2 - threshold) / threshold).cast("int") + 10
+    """Shortest and longest partner a 2M/T ratio of ``threshold`` allows, with a margin of ten.
+
+    Products are exact decimals and only the quotient is a double, as in SQL with decimal constants.
+    """
+    short = Decimal(str(threshold))
+    part = lambda x, y: ((length * F.lit(x)).cast("double") / float(y)).cast("int")
+    return F.greatest(part(short, 2 - short) - 10, F.lit(1)), part(2 - short, short) + 10
 
 
 def length_window_join(a: DataFrame, b: DataFrame, threshold: float, *, text: str = "title", width: int = 16) -> DataFrame:

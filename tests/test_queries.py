@@ -3,8 +3,11 @@
 import datetime
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 from quire.catalog import load
+from quire.operators import enrich
 
 
 def both(spark, folder, name, **tables):
@@ -25,3 +28,12 @@ def test_halves_of_chunk_counts_round_as_in_sql(spark, tmp_path):
     orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string")
     got, want = both(spark, tmp_path, "p04_processing_queue", orders=orders)
     assert got == want and (1, "complete", 0) in got and (5, "complete", 2) in got
+
+
+@pytest.mark.parametrize("t", [0.92, 0.9])
+def test_length_windows_are_those_of_sql(spark, t):
+    low, high = enrich.length_window(F.col("n"), t)
+    got = spark.range(1, 3000).select(F.col("id").cast("int").alias("n")).select("n", low, high).orderBy("n").collect()
+    up = f"{2 - t:.2f}"
+    want = duckdb.sql(f"SELECT n, greatest(CAST(trunc(n * {t} / {up}) AS INT) - 10, 1), CAST(trunc(n * {up} / {t}) AS INT) + 10 FROM range(1, 3000) t(n) ORDER BY n").fetchall()
+    assert [tuple(r) for r in got] == want
