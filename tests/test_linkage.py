@@ -150,3 +150,17 @@ def test_best_match_policies(spark):
     for policy in ("search", "strict", "validate"):
         r = merging.best_match(rec, cand, policy).first()
         assert (r.candidate_id, r.score) == (7, 1.0)
+
+
+@pytest.mark.parametrize("measure", ["ratio", "edits"])
+def test_common_grams_make_few_candidates(spark, measure):
+    # every text holds the same frequent words among others, and one is a single word over and over
+    rng = random.Random(5)
+    other = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9)))
+    base = [" ".join(w for _ in range(6) for w in (rng.choice(["then", "the", "tion"]), other())) for _ in range(300)]
+    words = sorted({*base, *(t + "x" for t in base[:20]), "rend " * 2000})
+    df = spark.createDataFrame(list(enumerate(words)), "key long, text string")
+    pairs = linkage._candidates(df, df, 0.9, measure, F.col("key_a") < F.col("key_b")).distinct()
+    found = {tuple(sorted((words[r.key_a], words[r.key_b]))) for r in pairs.collect()}
+    assert {(t, t + "x") for t in base[:20]} <= found
+    assert len(found) < 0.1 * len(words) * (len(words) - 1) / 2
