@@ -147,6 +147,40 @@ def test_similar_texts(spark, docs, rows):
     assert {x["doc_id"] for x in similar.keep_first(docs).collect()} == first_of_similar([(i, t) for i, t, *_ in rows])
 
 
+def test_groups_do_not_depend_on_the_size_of_buckets(spark):
+    """Pairs of likeness 0.82 that share a frame with all others: small limits lose none of the links that large ones find, and parts may be empty."""
+    r = random.Random(8)
+    frame, made = [f"f{k}" for k in range(150)], []
+    for g in range(120):
+        own = [f"g{g}w{k}" for k in range(60)]
+        for c in range(2):
+            w = frame + own
+            for k in range(155 + r.randrange(3), 205, 15) if c else []:
+                w[k] = f"x{r.randrange(10 ** 6)}"
+            made.append((2 * g + c, " ".join(w)))
+    df, want = spark.createDataFrame(made, "doc_id long, text string"), first_of_similar(made)
+    assert len(want) == 120
+    for how in ({}, {"limit": 3, "work": 1}):
+        assert {x["doc_id"] for x in similar.keep_first(df, **how).collect()} == want
+
+
+def test_near_copies_give_few_links():
+    """A bucket of near copies gives one link less than its sets, and buckets that share sets share most links."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    base = r.integers(0, 1 << 63, similar.SHORT, np.uint64)
+    sig = r.integers(-(1 << 62), 1 << 62, 400)
+    fps = [(base ^ np.bitwise_or.reduce([np.uint64(1) << np.uint64(b) for b in r.integers(0, 64, 2)])).tobytes() for _ in sig]
+    kind = pa.list_(pa.struct([("sig", pa.int64()), ("fp", pa.binary())]))
+    take = lambda some: [{"sig": int(sig[i]), "fp": fps[i]} for i in some]
+    lists = pa.array([take(range(400)), take(range(20, 400)), take(range(380))], kind)
+    out = list(similar._in_buckets(iter([pa.RecordBatch.from_arrays([pa.array([0, 1 << 12, 2 << 12]), lists], ["bucket", "sets"])])))[0].to_pydict()
+    assert len(out["a"]) == 399 + 379 + 379 and set(out["again"]) == {0, 1 << 12, 2 << 12}
+    assert len({frozenset(p) for p in zip(out["a"], out["b"])}) < 500
+
+
 def test_jobs_do_not_grow_with_a_bucket(spark):
     """Texts that share a frame of 60 words but are not alike, beside a group of near copies: the number of Spark jobs is bounded by the levels."""
     r = random.Random(6)
