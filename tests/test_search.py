@@ -148,3 +148,15 @@ def test_no_cartesian_product(spark, docs):
     for df in (retrieval.bm25(queries(spark, "a b"), idx), retrieval.phrase_match(queries(spark, "a b"), idx)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_postings_are_made_in_pieces(spark, docs):
+    """A batch is cut at a number of tokens, so what a task holds does not follow the batch; postings stay the same."""
+    import pyarrow as pa
+
+    lists = pa.array([["a", "b"], None, ["c"] * 5, [], ["a"]])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array([2, 0, 5, 0, 1], pa.int32()), lists], ["doc_id", "dl", "tokens_0"])
+    parts = list(textindex._pieces(batch, 1, 3))
+    assert [p.column("doc_id").to_pylist() for p in parts] == [[0, 1], [2], [3, 4]]
+    whole = textindex._count_terms(batch, {"t": 1.0}, False).to_pylist()
+    assert [r for p in parts for r in textindex._count_terms(p, {"t": 1.0}, False).to_pylist()] == whole
