@@ -74,3 +74,25 @@ def test_chunks(cloud, spark):
     index = vi.build(chunks.selectExpr("chunk_id AS id", "embedding"), 8)
     cols = ["query_id", "paper_id", "score", "rank"]
     assert sorted(map(tuple, vi.chunk_probe(q, chunks, index, 3, probes=8).select(*cols).collect())) == sorted(map(tuple, vectors.chunk_knn(q, chunks, 3).select(*cols).collect()))
+
+
+def test_blocks_bound_memory_and_do_not_repeat_rows():
+    """A small block is multiplied within a task; a product of many queries and vectors is never held whole."""
+    import tracemalloc
+
+    assert vectors._parts(3000, 100) == 1 and vectors._parts(9000, 100) == 3 == vectors._parts(9000, vectors.BLOCK) and vectors._parts(9000, 9000) == 1
+    r = np.random.default_rng(1)
+    x, ids = vectors._unit(r.normal(size=(3000, 8))), np.arange(3000)
+    tracemalloc.start()
+    got = vectors._best(ids, x, ids, x, 5, None, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 15000 and peak < 48 << 20  # the whole product takes 72 MB, and its order as much
+
+
+def test_only_asking_vectors_get_neighbours(cloud):
+    v = cloud.select("id", "embedding")
+    whole = [h for h in hits(vectors.similar_papers(v, 3, min_score=0.3)) if h[0] % 20 == 0]
+    assert whole == hits(vectors.similar_papers(v, 3, min_score=0.3, ask="id % 20 = 0"))
+    index = vi.build(v, 8)
+    assert whole == hits(vi.neighbours(index, 3, probes=8, min_score=0.3, ask="id % 20 = 0"))
