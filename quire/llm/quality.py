@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 from quire.llm.common import col, others, pieces, schema_with
 
 DIMS = 1 << 18
+#: Bytes of text whose features are made at once.
+PIECE = 1 << 20
 _EDGES = re.compile(r"^(\W*)(.*?)(\W*)$", re.S)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)]
 
@@ -71,7 +73,7 @@ def _vectors(docs: DataFrame) -> DataFrame:
     """Sparse vectors of (doc_id, y, shard, __text): indices ascending, shares as values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "__text"):
+        for batch in pieces(batches, "__text", PIECE):
             families, n = features(batch.column("__text"))
             both = np.concatenate([d * DIMS + f for d, f in families])
             key, count = np.unique(both, return_counts=True)
@@ -141,7 +143,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], *, text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, bias = shared.value
-        for batch in pieces(batches, "__text", 2 << 20):
+        for batch in pieces(batches, "__text", PIECE):
             families, n = features(batch.column("__text"))
             total = sum(np.bincount(d, w[f], minlength=len(n)) for d, f in families)
             out = 1 / (1 + np.exp(-np.clip(bias + total / np.maximum(n, 1), -35, 35)))

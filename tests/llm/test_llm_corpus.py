@@ -164,6 +164,19 @@ def test_groups_do_not_depend_on_the_size_of_buckets(spark):
         assert {x["doc_id"] for x in similar.keep_first(df, **how).collect()} == want
 
 
+def test_features_are_made_in_small_pieces():
+    """What the classifier makes of one piece of text stays small."""
+    import tracemalloc
+    import pyarrow as pa
+
+    texts = pa.array(["some short words of one text " * 40] * (quality.PIECE // 1160))
+    tracemalloc.start()
+    quality.features(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20
+
+
 def test_near_copies_give_few_links():
     """A bucket of near copies gives one link less than its sets, and buckets that share sets share most links."""
     import numpy as np
