@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from quire.llm.common import col, others, pieces, schema_with
+from quire.llm.common import col, give_back, others, pieces, schema_with
 
 DIMS = 1 << 18
 #: Bytes of text whose features are made at once.
@@ -88,9 +88,11 @@ def _vectors(docs: DataFrame) -> DataFrame:
 
 
 def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], *, epochs: int, alpha: float, beta: float, l1: float, l2: float) -> tuple[np.ndarray, float]:
-    """Weights and bias after follow-the-regularised-leader steps over the rows (label, indices, values), ``epochs`` times."""
+    """Weights and bias after follow-the-regularised-leader steps over the rows (label, indices, values), ``epochs`` times.
+
+    Rows are read as they are; the bias is added and numbers are widened for one row at a time.
+    """
     z, n = np.zeros(DIMS + 1), np.zeros(DIMS + 1)
-    rows = [(y, np.append(i, DIMS), np.append(v, 1.0)) for y, i, v in rows]
 
     def weights(i):
         zi = z[i]
@@ -98,6 +100,7 @@ def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], *, epochs: int, alpha:
 
     for _ in range(epochs):
         for y, i, v in rows:
+            i, v = np.append(i, DIMS), np.append(v, 1.0)
             w = weights(i)
             g = (1 / (1 + np.exp(-np.clip(w @ v, -35, 35))) - y) * v
             grown = n[i] + g * g
@@ -117,9 +120,10 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         part = part.assign(order=[zlib.crc32(str(d).encode(), 7) for d in part.doc_id]).sort_values(["order", "doc_id"])
-        w, bias = ftrl([(y, np.asarray(i), np.asarray(v, float)) for y, i, v in zip(part.y, part["index"], part["value"])],
-                       epochs=epochs, alpha=alpha, beta=beta, l1=l1, l2=l2)
+        w, bias = ftrl(list(zip(part.y, part["index"], part["value"])), epochs=epochs, alpha=alpha, beta=beta, l1=l1, l2=l2)
         at = np.flatnonzero(w)
+        del part
+        give_back()
         return pd.DataFrame({"index": np.append(at, DIMS).astype("int32"), "weight": np.append(w[at], bias)})
 
     parts = vectors.groupBy("shard").applyInPandas(fit, "index int, weight double")

@@ -177,6 +177,20 @@ def test_features_are_made_in_small_pieces():
     assert peak < 80 << 20
 
 
+def test_training_reads_rows_as_they_are():
+    import tracemalloc
+
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    rows = [(k % 2, np.sort(r.integers(0, quality.DIMS, 2000)).astype(np.int32), r.random(2000).astype(np.float32)) for k in range(1500)]
+    tracemalloc.start()
+    quality.ftrl(rows, epochs=1, alpha=2.0, beta=0.01, l1=1e-4, l2=1e-4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 << 20  # the rows hold 24 MB and were copied as twice that
+
+
 def test_near_copies_give_few_links():
     """A bucket of near copies gives one link less than its sets, and buckets that share sets share most links."""
     import numpy as np
