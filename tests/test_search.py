@@ -44,6 +44,36 @@ def test_bm25_matches_formula(spark, docs):
         assert got.get((0, d), 0.0) == pytest.approx(want, abs=1e-6)
 
 
+@pytest.mark.parametrize("docs_at_once,asked", [(4096, 256), (40, 3)])
+def test_bm25_in_parts_equals_the_pairs(spark, monkeypatch, docs_at_once, asked):
+    monkeypatch.setattr(retrieval, "DOCS", docs_at_once)
+    monkeypatch.setattr(retrieval, "ASKED", asked)
+    r = random.Random(6)
+    pick = lambda n: " ".join(f"w{int(r.expovariate(0.05))}" for _ in range(n))
+    rows = [(f"d{i}", pick(3), pick(r.choice([0, 5, 40]))) for i in range(300)] + [(f"x{i}", "same title", "same words w1") for i in range(60)] + [("none", None, None)]
+    index = textindex.build_index(spark.createDataFrame(rows, "id string, title string, abstract string"))
+    asks = spark.createDataFrame([(i, pick(5)) for i in range(12)] + [(50, "same words"), (51, "nowhere"), (52, None), (None, "w1 same")], "query_id int, query string")
+    key = lambda df: sorted((str(x.query_id), x.rank, x.doc_id, x.score) for x in df.collect())
+    assert key(retrieval.bm25(asks, index, k=7)) == key(retrieval.bm25(asks, index, k=None).filter("rank <= 7"))
+
+
+def test_bm25_shuffles_no_row_per_query_and_document(spark):
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    r = random.Random(7)
+    rows = [(i, " ".join(f"w{x}" for x in r.sample(range(12), 6)), "") for i in range(3000)]
+    index = textindex.build_index(spark.createDataFrame(rows, "id long, title string, abstract string"))
+    asks = spark.createDataFrame([(i, " ".join(f"w{x}" for x in r.sample(range(12), 4))) for i in range(100)], "query_id long, query string")
+    before = written()
+    assert retrieval.bm25(asks, index, k=10).count() == 1000
+    assert written() - before < 1_500_000  # 300,000 pairs have a score
+
+
+def test_rounding_is_sparks(spark):
+    x = [0.0000005, 0.0000015, 1.0000025, 12.3456785, 2.675, 0.1234564999999, 7.0000004999999999, 3.3e-7]
+    want = [v[0] for v in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 6)).collect()]
+    assert retrieval._rounded(np.array(x)).tolist() == want
+
+
 def test_years_limit_hits_not_statistics(spark, docs):
     idx = textindex.build_index(docs)
     every = retrieval.bm25(queries(spark, "layer"), idx, k=None)
