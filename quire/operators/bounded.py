@@ -26,8 +26,8 @@ from quire.operators.retrieval import B, K1, MIN_IDF, _in_years
 from quire.operators.textindex import TextIndex, bucket_of, load_index, postings_schema, query_terms
 from quire.session import checkpointed, shared_folder, top_k
 
-#: Documents in a block, about; blocks scored in the first round.
-BLOCK_DOCS, FIRST = 4, 16
+#: Documents in a block, about, at least; blocks an index has, about, at most; blocks scored in the first round.
+BLOCK_DOCS, BLOCKS, FIRST = 4, 2500, 16
 #: Bounds and scores are sums of rounded numbers.
 SLACK = 2e-6
 
@@ -44,10 +44,14 @@ def _length_class(dl: Column) -> Column:
     return F.floor(4 * F.log2(dl.cast("double") + 1)).cast("int")
 
 
-def save_blocked(index: TextIndex, path: str, *, buckets: int = 64, block_docs: int = BLOCK_DOCS) -> None:
-    """Persist the index with its block table."""
-    classes = index.docs.groupBy(_length_class(F.col("dl")).alias("c")).agg(F.ceil(F.count("*") / block_docs).alias("n")).collect()  # one row a class
-    parts = F.element_at(F.create_map(*[F.lit(int(v)) for r in classes for v in (r["c"], r["n"])]), F.col("class")) if classes else F.lit(1)
+def save_blocked(index: TextIndex, path: str, *, buckets: int = 64, block_docs: int | None = None) -> None:
+    """Persist the index with its block table.
+
+    Without ``block_docs`` blocks grow with the documents, so that a query has about ``BLOCKS`` bounds at every size.
+    """
+    classes = index.docs.groupBy(_length_class(F.col("dl")).alias("c")).agg(F.count("*").alias("n")).collect()  # one row a class
+    size = block_docs or max(BLOCK_DOCS, -(-sum(r["n"] for r in classes) // BLOCKS))
+    parts = F.element_at(F.create_map(*[F.lit(v) for r in classes for v in (r["c"], -(-r["n"] // size))]), F.col("class")) if classes else F.lit(1)
     rows = index.postings.withColumn("bucket", bucket_of(buckets)).withColumn("class", _length_class(F.col("dl")))
     rows = rows.withColumn("block", F.shiftleft(F.col("class").cast("long"), 40) + F.pmod(F.xxhash64("doc_id"), parts.cast("long"))).drop("class")
     rows = rows.repartition(buckets, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8)))
@@ -68,7 +72,7 @@ def load_blocked(spark: SparkSession, path: str, stemmed: bool = False, buckets:
     return BlockedIndex(postings, i.docs, i.terms, i.stemmed, i.buckets, blocks)
 
 
-def stored_blocked(index: TextIndex, block_docs: int = BLOCK_DOCS) -> BlockedIndex:
+def stored_blocked(index: TextIndex, block_docs: int | None = None) -> BlockedIndex:
     """The index written once to the shared folder, with bounds, and read back."""
     spark = index.postings.sparkSession
     path = f"{shared_folder(spark)}/blocked-{uuid.uuid4().hex}"

@@ -39,6 +39,16 @@ def test_years_and_other_parameters(corpus):
     assert rows(bounded.bm25(queries, blocked, first=2, **how)) == rows(retrieval.bm25(queries, index, **how))
 
 
+def test_bounds_do_not_grow_with_the_documents(corpus, monkeypatch):
+    docs, queries = corpus
+    monkeypatch.setattr(bounded, "BLOCKS", 20)
+    index = textindex.build_index(docs)
+    blocked = bounded.stored_blocked(index)
+    classes = index.docs.select(bounded._length_class(index.docs["dl"])).distinct().count()
+    assert blocked.blocks.select("block").distinct().count() <= 20 + classes
+    assert rows(bounded.bm25(queries, blocked, k=5, first=2)) == rows(retrieval.bm25(queries, index, k=5))
+
+
 def test_fewer_postings_are_read(corpus):
     docs, queries = corpus
     blocked = bounded.stored_blocked(textindex.build_index(docs), 1)
