@@ -189,3 +189,47 @@ def test_common_grams_make_few_candidates(spark, measure):
     found = {tuple(sorted((words[r.key_a], words[r.key_b]))) for r in pairs.collect()}
     assert {(t, t + "x") for t in base[:20]} <= found
     assert len(found) < 0.1 * len(words) * (len(words) - 1) / 2
+
+
+def test_best_match_without_a_title_is_none(spark):
+    rec = spark.createDataFrame([(1, None, "Smith", 2020), (2, "Alumina", "Smith", 2020)], "record_id long, title string, author string, year int")
+    cand = spark.createDataFrame([(1, 7, "Alumina", ["J. Smith"], 2020), (2, 8, None, ["J. Smith"], 2020)], "record_id long, candidate_id long, title string, authors array<string>, year int")
+    assert merging.best_match(rec, cand).count() == 0  # least() skipped the missing similarity
+
+
+def test_best_match_in_groups_equals_all_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    words = ["the", "tion", "jk", "qx", "and", "ab", "1", "éa", "😀"]
+    title = lambda: " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 2, 4, 6, 9, 20, 45, 90])))
+    some = [title() for _ in range(25)]
+    pick = lambda: rng.choice([None, rng.choice(some), *(title() + rng.choice(["", " xyz", "12 pq"]) for _ in range(8))])
+    rec = [(i, rng.choice(["g", "h", "only records", None]), pick(), rng.choice(["Li", "Smith", "", None]), rng.choice([2000, 2001, None])) for i in range(150)]
+    cand = [(f"c{i}", rng.choice(["g", "h", "only candidates"]), pick(), rng.choice([["J. Smith", "Li"], ["Lin", None], [], None]), rng.choice([2000, 2001, None])) for i in range(150)]
+    r = spark.createDataFrame(rec, "record_id long, g string, title string, author string, year int")
+    c = spark.createDataFrame(cand, "candidate_id string, g string, title string, authors array<string>, year int")
+    want = merging.best_match(r, r.select("record_id", "g").join(c, "g").drop("g"), "search")
+    want = sorted(map(tuple, want.collect()))
+    assert len(want) > 50 and len({x[2] for x in want}) > 12
+    assert sorted(map(tuple, merging.best_match_in_groups(r, c, ["g"]).collect())) == want
+    monkeypatch.setattr(merging, "OFFERED", 20)
+    monkeypatch.setattr(merging, "FEWEST", 8)
+    assert sorted(map(tuple, merging.best_match_in_groups(r, c, ["g"]).collect())) == want
+    assert merging.best_match_in_groups(r.filter("g = 'only records'"), c, ["g"]).count() == 0
+
+
+def test_matching_size_is_that_of_sequence_matcher():
+    from difflib import SequenceMatcher
+
+    from quire.functions.similarity import CommonLengths, matching_size, places
+    rng = random.Random(3)
+    text = lambda: "".join(rng.choice(["the", "tion", "xq", "z", "and ", "é", "jk "]) for _ in range(rng.choice([0, 1, 3, 10, 30, 80, 200])))
+    texts = sorted((text() for _ in range(40)), key=len)
+    short = [t for t in texts if len(t) < 200]
+    common = CommonLengths(short)
+    for _ in range(150):
+        a = text()
+        bound = common.to(a, 0, len(short))
+        for k, b in enumerate(texts):
+            m = sum(x.size for x in SequenceMatcher(None, a, b).get_matching_blocks())
+            assert matching_size(a, b, places(b)) == matching_size(a, b, places(b), m) == m and matching_size(a, b, places(b), m + 1) == -1
+            assert k >= len(short) or m <= bound[k] <= min(len(a), len(b))
