@@ -66,18 +66,22 @@ COVER_PAGE_SIGNS = [
 
 
 def text_quality(docs: DataFrame, *, text: str = "text", abstract: str = "abstract", words: str | Column | None = None,
-                 signs: list[str] | None = None) -> DataFrame:
-    """Q07: cover-page signs at the head of the text, missing abstract, too few words for the length."""
+                 signs: list[str] | None = None, missing: bool = True) -> DataFrame:
+    """Q07: cover-page signs at the head of the text, missing abstract, too few words for the length.
+
+    With ``missing`` false an empty text is judged by the same signs as any other.
+    """
     signs = COVER_PAGE_SIGNS if signs is None else signs
     body = F.coalesce(F.col(text), F.lit(""))
     count = word_count(text) if words is None else words
-    head = F.lower(F.substring(body, 1, 2000))
+    # a dotted capital I is an i as well; Java's lower case adds a mark to it
+    head = F.lower(F.translate(F.substring(body, 1, 2000), "\u0130", "i"))
     cover = reduce(lambda a, b: a | b, [F.contains(head, F.lit(s)) for s in signs])
     no_abstract = ~present(abstract) & (F.length(body) > 1000)
-    few_words = (count > 0) & (count < 500) & (F.length(body) > 5000)
+    few_words = (F.length(body) > 5000) & (count > 0) & (count < 500)
     issues = kept(F.when(cover, F.lit("cover_page")), F.when(no_abstract, F.lit("missing_abstract")),
                   F.when(few_words, F.lit("low_word_count")))
-    empty = body == ""
+    empty = (body == "") if missing else F.lit(False)
     quality = (F.when(empty, "missing").when(cover, "contaminated").when(no_abstract | few_words, "suspect")
                .otherwise("good"))
     advice = (F.when(empty, "enrich").when(cover | few_words, "vision").when(no_abstract, "enrich").otherwise("text"))
