@@ -20,11 +20,10 @@ def collapse_chunks(hits: DataFrame, previews: int = 2, chars: int = 300) -> Dat
     Hits per pair are counted in chunks of one paper, so the pair window stays small.
     """
     cut = F.when(F.length("text") > chars, F.concat(F.substring("text", 1, chars), F.lit("..."))).otherwise(F.col("text"))
-    best = hits.groupBy("query_id", "paper_id").agg(F.max("score").alias("score"))
     few = top_k(hits.withColumn("text", cut), ["query_id", "paper_id"], [F.desc("score"), F.col("chunk_index")], previews, "n")
-    shown = few.groupBy("query_id", "paper_id").agg(
-        F.array_sort(F.collect_list(F.struct("n", F.round("score", 3).alias("score"), "chunk_index", "section", "text"))).alias("chunks"))
-    return best.join(shown, ["query_id", "paper_id"])
+    # the first preview has the best score
+    return few.groupBy("query_id", "paper_id").agg(
+        F.max("score").alias("score"), F.array_sort(F.collect_list(F.struct("n", F.round("score", 3).alias("score"), "chunk_index", "section", "text"))).alias("chunks"))
 
 
 def min_max(df: DataFrame, by: list[str], score: str = "score", name: str = "score_norm") -> DataFrame:
